@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, rules
+from barloom.llm import decontaminate, neardup, quality, rules
 from barloom.session import table
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
@@ -39,6 +48,8 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 QUERIES = {
+    "op5_near_duplicates": op5_near_duplicates,
+    "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
 }
