@@ -78,7 +78,8 @@ def link(members: DataFrame, verify: Callable[[DataFrame, int], DataFrame], scra
         edges = scratch.put(f"edges-{k}", verify(pairs, k).select("a", "b"))
         found = edges if found is None else found.union(edges)
         scratch.drop(f"pairs-{k}")
-        groups = components(found, scratch, f"groups-{k}")
+        if groups is None or edges.count():
+            groups = components(found, scratch, f"groups-{k}")
         rest = active.where("id <> leader").drop("leader") if lead is None else active.join(lead.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
         rest = rest.drop("comp").join(groups, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
         k += 1
