@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, neardup, quality, rules
+from barloom.llm import decontaminate, neardup, quality, rules, warc
 from barloom.session import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    index, _ = warc.archive(pages)
+    found = index.lookup(warc.keys_of(pages.select("url")), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
@@ -31,6 +38,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last <> page_id THEN last END AS refers_to
+FROM p LEFT JOIN m ON m.payload_digest = p.payload_digest AND payload_bytes >= 1000
+"""
+
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_ALNUM_WORDS} AS w FROM benchmark),
@@ -48,10 +64,11 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLES = {"op7_decontaminate": OP7_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op7_decontaminate": OP7_SQL}
