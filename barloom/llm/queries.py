@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, neardup, quality, rules, warc
+from barloom.llm import decontaminate, linededup, neardup, quality, rules, warc
 from barloom.session import table
 
 
@@ -35,6 +35,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.train(docs, table(spark, sf_dir, "labels"))).drop("score")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    out = linededup.dedup_lines(docs, removed_col="removed")
+    n = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
+    return out.select("doc_id", "n_lines", n.alias("n_removed"), F.array_join(F.coalesce("removed", F.array().cast("array<int>")), ",").alias("removed_lines"), F.sha2("text", 256).alias("text_sha256"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
@@ -69,6 +76,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLES = {"op1_warc": OP1_SQL, "op7_decontaminate": OP7_SQL}
