@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, linededup, neardup, quality, rules, warc
+from barloom.llm import decontaminate, licenses, linededup, neardup, packing, quality, rules, tokens, warc
+from barloom.llm.shared import Scratch
+from barloom.llm.tokenrollup import TokenRollup
 from barloom.session import table
 
 
@@ -16,6 +18,22 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.array_join("sentences", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one batch of inserts into a fresh rollup; the batch sent again counts once."""
+    scratch = Scratch(spark, "tokens")
+    counted = scratch.put("counts", tokens.with_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang"]))
+    changes = counted.withColumns({"op": F.lit("insert"), "tokenizer": F.lit("byte_bpe_50k")})
+    rollup = TokenRollup(spark, f"{scratch.path}/rollup")
+    for _ in range(2):
+        rollup.commit("documents", changes)
+    return rollup.totals()
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
@@ -42,6 +60,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", n.alias("n_removed"), F.array_join(F.coalesce("removed", F.array().cast("array<int>")), ",").alias("removed_lines"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
@@ -54,6 +76,18 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest
 FROM p LEFT JOIN m ON m.payload_digest = p.payload_digest AND payload_bytes >= 1000
 """
 
+_SENTENCE_MAP = "MAP {" + ", ".join(f"'{s}': '{i}'" for i, s in licenses.SENTENCES.items()) + "}"
+_LICENSE_LIST = ", ".join(f"CASE WHEN regexp_matches(line, '{licenses.rule_pattern(ids)}') THEN '{name}' END" for name, ids in licenses.RULES)
+OP2_SQL = f"""
+WITH n AS (SELECT doc_id, list_transform(string_split(regexp_replace(coalesce(text, ''), '{licenses.BREAK}', chr(92) || '1' || chr(10), 'g'), chr(10)),
+                  lambda s: trim(regexp_replace(lower(s), '{licenses.GAP}', ' ', 'g'))) AS s FROM documents),
+i AS (SELECT doc_id, list_filter(list_transform(s, lambda x: {_SENTENCE_MAP}[x]), lambda x: x IS NOT NULL) AS ids FROM n),
+l AS (SELECT doc_id, ids, ',' || coalesce(array_to_string(ids, ','), '') || ',' AS line FROM i)
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
+       coalesce(array_to_string(list_sort(list_distinct(list_filter([{_LICENSE_LIST}], lambda x: x IS NOT NULL))), ','), '') AS licenses
+FROM l
+"""
+
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_ALNUM_WORDS} AS w FROM benchmark),
@@ -72,11 +106,14 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_licenses": op2_licenses,
+    "op4_token_counts": op4_token_counts,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
+    "op10_packing": op10_packing,
 }
 
-ORACLES = {"op1_warc": OP1_SQL, "op7_decontaminate": OP7_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op2_licenses": OP2_SQL, "op7_decontaminate": OP7_SQL}
