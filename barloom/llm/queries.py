@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, licenses, linededup, neardup, packing, quality, rules, tokens, warc
+from barloom.llm import decontaminate, licenses, linededup, neardup, packing, pii, quality, rules, tokens, warc
 from barloom.llm.shared import Scratch
 from barloom.llm.tokenrollup import TokenRollup
 from barloom.session import table
@@ -23,6 +23,11 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.array_join("sentences", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents"), pii.fit(pii.labelled_rows()))
+    return found.select("doc_id", *pii.COUNTS, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as one batch of inserts into a fresh rollup; the batch sent again counts once."""
     scratch = Scratch(spark, "tokens")
@@ -107,6 +112,7 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_licenses": op2_licenses,
+    "op3_pii": op3_pii,
     "op4_token_counts": op4_token_counts,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality": op6_quality,
