@@ -134,3 +134,21 @@ def removed_lines(docs: dict, min_words: int = 5, distance: int = 2, similarity:
             if p != keeper[comp[x]]:
                 out[p[0]].append(p[1])
     return {i: sorted(v) for i, v in out.items()}
+
+
+def base_spans(text: str | None) -> list[tuple[str, int, int]]:
+    """The four patterns exactly as the contract writes them."""
+    text = text or ""
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        total = sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d)))
+        if 16 <= len(d) <= 19 and total % 10 == 0:
+            out.append(("card", m.start(), m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append(("phone", m.start(), m.end()))
+    return out
