@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.shared import Scratch
 
 #: Members of a bucket that are compared with all others of it, by round; the last holds from there on.
-LEADERS = (1, 8, 64)
+LEADERS = (1, 32, 2048)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -53,39 +53,40 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return roots
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame, int], DataFrame], scratch: Scratch) -> DataFrame:
-    """(id, comp) of all ids that a verified link joins to another; members: (bucket, id), ids of type long.
+def link(members: DataFrame, look: DataFrame, screen: Callable[[str, str], Column], verify: Callable[[DataFrame, int], DataFrame], scratch: Scratch) -> DataFrame:
+    """(id, comp) of all ids that a verified link joins to another.
 
-    In each round some members of each bucket, its leaders, are compared with all its other members outside
-    their group: verify gets distinct pairs (a, b) and gives the linked ones.  Leaders then leave the bucket, as
-    each of their links in it is known, and a bucket whose other members are all of one group is done.  So no
-    link between groups is lost, while a bucket of one group costs as many pairs as it has members.
+    members: (bucket, id), ids of type long; look: (id, facts), facts a struct; screen gives the condition, on two
+    columns of facts, that a pair must meet to be worth verifying.
+
+    In each round some members of each bucket, its leaders, are compared with all its other members outside their
+    group.  Pairs are screened inside the join, so only likely ones leave it; verify gets those (a, b), distinct, and
+    gives the linked ones.  Leaders then leave the bucket, as each of their links in it is known, and a bucket whose
+    other members are all of one group is done.  So no link between groups is lost, while a bucket of one group costs
+    as many pairs as it has members.
     """
     size = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader")
-    active = scratch.put("active-0", members.join(size, "bucket").select("bucket", "id", F.col("id").alias("comp"), "leader"))
-    found, k = None, 0
-    groups = None
+    active = scratch.put("active-0", members.join(size, "bucket").select("bucket", "id", "leader"))
+    side = lambda x: look.select(F.col("id").alias(x), F.col("facts").alias(f"f{x}"))
+    pairs = active.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(screen("fa", "fb"))
+    rest = active.where("id <> leader").select("bucket", "id")
+    found, groups, k = None, None, 0
     while True:
-        if k == 0:
-            pairs = active.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-            lead = None
-        else:
-            n = LEADERS[min(k, len(LEADERS) - 1)]
-            order = Window.partitionBy("bucket").orderBy(F.xxhash64("id", F.lit(k)), "id")
-            lead = scratch.put(f"lead-{k}", active.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("bucket", F.col("id").alias("leader"), F.col("comp").alias("of")))
-            pairs = active.join(lead, "bucket").where("comp <> of").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-        pairs = scratch.put(f"pairs-{k}", pairs.distinct())
-        edges = scratch.put(f"edges-{k}", verify(pairs, k).select("a", "b"))
+        edges = scratch.put(f"edges-{k}", verify(scratch.put(f"pairs-{k}", pairs.select("a", "b")), k).select("a", "b"))
         found = edges if found is None else found.union(edges)
-        scratch.drop(f"pairs-{k}")
         if groups is None or edges.count():
             groups = components(found, scratch, f"groups-{k}")
-        rest = active.where("id <> leader").drop("leader") if lead is None else active.join(lead.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
-        rest = rest.drop("comp").join(groups, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-        k += 1
-        rest = scratch.put(f"rest-{k}", rest)
+        rest = scratch.put(f"rest-{k}", rest.join(groups, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp")))
         open_ = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        k += 1
         active = scratch.put(f"active-{k}", rest.join(open_, "bucket", "left_semi"))
-        scratch.drop(f"active-{k - 1}", f"rest-{k}", *([f"lead-{k - 1}"] if lead is not None else []))
+        scratch.drop(f"active-{k - 1}", f"rest-{k - 1}", f"pairs-{k - 1}", f"lead-{k - 1}")
         if not active.count():
             return groups
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64("id", F.lit(k)), "id")
+        first = LEADERS[min(k, len(LEADERS) - 1)]
+        lead = scratch.put(f"lead-{k}", active.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first).select("bucket", F.col("id").alias("a"), F.col("comp").alias("of")).join(side("a"), "a"))
+        other = active.withColumnRenamed("id", "b").join(side("b"), "b")
+        pairs = other.join(lead, (other["bucket"] == lead["bucket"]) & (F.col("comp") != F.col("of")) & screen("fa", "fb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rest = active.join(lead.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")

@@ -1,13 +1,14 @@
 """Near-duplicate documents: MinHash bands for candidates, odd sketches to judge them, full sets to confirm.
 
 A document's set is its distinct K-word shingles (lower-cased A-Z, ASCII white space between words).  SAMPLES
-MinHash values of it give BANDS band keys, and are folded into one parity bitmap, the odd sketch: each sample
-flips one bit.  Equal samples flip the same bit, so the population count of two sketches' XOR estimates how many
-samples differ, most precisely at high similarity.  Candidates whose estimate lies far below the threshold go;
-all others are confirmed on the full sets.  Documents of equal sets are one node throughout.
+MinHash values of it give BANDS band keys.  BINS further MinHash samples, the least hash of each of BINS equal parts
+of the hash range, are folded into one parity bitmap of SKETCH_BITS, the odd sketch: each sample flips one bit.
+Equal samples flip the same bit, so the population count of two sketches' XOR estimates how many samples differ, the
+more precisely the fewer do.  Candidates whose estimate lies SIGMAS standard errors below what the threshold lets
+expect go; all others are confirmed on the full sets.  Documents of equal sets are one node throughout.
 
-At 40 bands of 5 rows a pair at similarity 0.8 is no candidate with probability 1.3e-7; MARGIN is over six
-standard errors of the estimate.
+At 40 bands of 5 rows a pair at similarity 0.8 is no candidate with probability 1.3e-7, and one below by six
+standard errors has probability 1e-9.
 
 Defined results: a text of fewer than K words is one shingle, its whole sequence; null, empty and wordless texts
 have no shingles and are linked with nothing; repeated rows of one id are one document (its least set counts);
@@ -29,12 +30,13 @@ from barloom.llm.shared import Scratch
 
 BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
-MARGIN = 0.2
+BINS = 8192
+SKETCH_BITS = 2048
+SIGMAS = 6.0
 
 
 def shingles(t: kernel.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, and each text's bounds in them."""
+    """Distinct shingle hashes of each text in ascending order, and each text's bounds in them."""
     s, e, wo = t.words(kernel.SPACED)
     h = kernel.word_hashes(t.b, s, e)
     g, at, go = kernel.ngrams(h, wo, k)
@@ -50,33 +52,42 @@ def shingles(t: kernel.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
         grown = np.diff(go)
         grown[short] = 1
         go = np.concatenate([[0], np.cumsum(grown)])
-    one = kernel.firsts(g, go)
+    g = g.copy()
+    one = np.ones(len(g), bool)
+    for a, b in zip(go[:-1].tolist(), go[1:].tolist(), strict=True):
+        if b - a > 1:
+            g[a:b].sort()
+            np.not_equal(g[a + 1 : b], g[a : b - 1], out=one[a + 1 : b])
     count = kernel.span_sums(one, go)
     return g[one], np.concatenate([[0], np.cumsum(count)])
 
 
 def signatures(g: np.ndarray, go: np.ndarray) -> dict[str, np.ndarray]:
-    """For each non-empty text: its digest in two parts, band keys and odd sketch."""
+    """For each non-empty text: its digest in two parts, band keys, odd sketch and number of samples in it."""
     full = np.flatnonzero(np.diff(go) > 0)
     start = go[full]
-    mul, step = kernel.constants(SAMPLES, 3), kernel.constants(SAMPLES, 29)
+    mul, step = kernel.constants(SAMPLES, 3), kernel.constants(BANDS, 29)
     bands = np.zeros((BANDS, len(full)), np.uint64)
-    sketch = np.zeros((len(full), SKETCH_BITS // 64), np.uint64)
-    row = np.arange(len(full))
+    if not len(full):
+        none = np.empty(0, np.uint64)
+        return {"full": full, "d1": none, "d2": none, "bands": bands.T, "sketch": np.empty((0, SKETCH_BITS // 64), np.uint64), "samples": np.empty(0, np.int64)}
     with np.errstate(over="ignore"):
-        if len(full):
-            made = np.empty_like(g)
-            for i in range(SAMPLES):
-                least = np.minimum.reduceat(np.multiply(g, mul[i], out=made), start)
-                b = i // ROWS
-                bands[b] = kernel.mix(bands[b] ^ (least + step[i]))
-                bit = kernel.mix(least ^ step[i]) % np.uint64(SKETCH_BITS)
-                sketch[row, (bit >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit & np.uint64(63))
-            d1 = np.add.reduceat(kernel.mix(g), start)
-            d2 = np.add.reduceat(kernel.mix(g ^ np.uint64(0x5555AAAA5555AAAA)), start)
-        else:
-            d1 = d2 = np.empty(0, np.uint64)
-    return {"full": full, "d1": d1, "d2": d2, "bands": bands.T, "sketch": sketch}
+        made = np.empty_like(g)
+        for i in range(SAMPLES):
+            b = i // ROWS
+            bands[b] = kernel.mix(bands[b] ^ (np.minimum.reduceat(np.multiply(g, mul[i], out=made), start) + step[b]))
+        part = g >> np.uint64(64 - BINS.bit_length() + 1)
+        least = np.ones(len(g), bool)
+        least[1:] = part[1:] != part[:-1]
+        least[start] = True
+        own = kernel.owners(go)[least]
+        row = np.searchsorted(full, own)
+        bit = (kernel.mix(g[least] ^ np.uint64(0x3C3C3C3C5A5A5A5A)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+        odd = np.bincount(row * SKETCH_BITS + bit, minlength=len(full) * SKETCH_BITS).reshape(len(full), SKETCH_BITS) & 1
+        sketch = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+        d1 = np.add.reduceat(kernel.mix(g), start)
+        d2 = np.add.reduceat(kernel.mix(g ^ np.uint64(0x5555AAAA5555AAAA)), start)
+    return {"full": full, "d1": d1, "d2": d2, "bands": bands.T, "sketch": sketch, "samples": np.bincount(row, minlength=len(full))}
 
 
 def _lists(x: np.ndarray, which: np.ndarray, n: int) -> pa.Array:
@@ -92,24 +103,23 @@ def _lists(x: np.ndarray, which: np.ndarray, n: int) -> pa.Array:
 def _sign(docs: DataFrame, k: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         n, at = batch.num_rows, 0
-        count, d1, d2 = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        which, bands, sketch = [], [], []
+        longs = {c: np.zeros(n, np.int64) for c in ("n", "samples", "d1", "d2")}
+        which, bands, sketch = [np.empty(0, np.int64)], [np.empty((0, BANDS), np.uint64)], [np.empty((0, SKETCH_BITS // 64), np.uint64)]
         for t in kernel.slices(batch.column(1)):
             g, go = shingles(t, k)
             s = signatures(g, go)
-            count[at : at + t.n] = np.diff(go)
-            d1[at + s["full"]], d2[at + s["full"]] = s["d1"].view(np.int64), s["d2"].view(np.int64)
+            longs["n"][at : at + t.n] = np.diff(go)
+            for c in ("samples", "d1", "d2"):
+                longs[c][at + s["full"]] = s[c].view(np.int64)
             which.append(at + s["full"])
             bands.append(s["bands"])
             sketch.append(s["sketch"])
             at += t.n
-        if not which:
-            which, bands, sketch = [np.empty(0, np.int64)], [np.empty((0, BANDS), np.uint64)], [np.empty((0, SKETCH_BITS // 64), np.uint64)]
         which = np.concatenate(which)
-        return {"id": batch.column(0), "n": count, "d1": d1, "d2": d2, "bands": _lists(np.concatenate(bands), which, n), "sketch": _lists(np.concatenate(sketch), which, n)}
+        return {"id": batch.column(0)} | longs | {"bands": _lists(np.concatenate(bands), which, n), "sketch": _lists(np.concatenate(sketch), which, n)}
 
     longs = T.ArrayType(T.LongType())
-    fields = [T.StructField("id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")), T.StructField("bands", longs), T.StructField("sketch", longs)]
+    fields = [T.StructField("id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n", "samples", "d1", "d2")), T.StructField("bands", longs), T.StructField("sketch", longs)]
     return map_batches(docs, run, fields)
 
 
@@ -126,11 +136,24 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return map_batches(docs, run, [T.StructField("id", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
 
 
-def estimate(a: str, b: str) -> Column:
-    """Similarity by two odd sketches: 1 + bits / (4 samples) * ln(1 - 2 u / bits), u the bits that differ."""
-    u = sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH_BITS // 64))
-    inside = F.greatest(1 - 2 * u / F.lit(SKETCH_BITS), F.lit(1e-9))
-    return 1 + F.lit(SKETCH_BITS / (4 * SAMPLES)) * F.ln(inside)
+def likely(a: str, b: str, percent: int) -> Column:
+    """Whether two sketches' facts (n, samples, sketch) leave room for a similarity of percent.
+
+    From u differing bits, the samples that differ number about -bits / 2 ln(1 - 2 u / bits).  At the threshold the
+    union has all / (1 + j) shingles, which fill parts of the hash range as balls fill bins, and a share j of the
+    filled parts agrees.  The standard error has the part of the union that shares bins, and the bitmap's.
+    """
+    x, y, j, bits = F.col(a), F.col(b), percent / 100, float(SKETCH_BITS)
+    u = sum((F.bit_count(x["sketch"][i].bitwiseXOR(y["sketch"][i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    differ = -F.lit(bits / 2) * F.ln(F.greatest(1 - 2 * u / F.lit(bits), F.lit(1e-9)))
+    agree = (x["samples"] + y["samples"] - differ) / 2
+    union = (x["n"] + y["n"]) / F.lit(1 + j)
+    filled = F.lit(float(BINS)) * (1 - F.exp(-union / F.lit(float(BINS))))
+    m = F.greatest(x["samples"] + y["samples"] - 2 * j * filled, F.lit(0.0))
+    e4 = F.exp(-4 * m / F.lit(bits))
+    spread = (F.lit(bits / 4) * (1 - e4) - m * e4) / e4 / 4 + j * (1 - j) * filled * F.greatest(1 - filled / union, F.lit(0.0))
+    sizes = 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
+    return sizes & (agree >= j * filled - F.lit(SIGMAS) * F.sqrt(spread + 1) - 2)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,21 +165,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     signed = scratch.put("signed", _sign(docs, k))
     single = signed.groupBy("id").agg(F.min(F.struct("n", "d1", "d2")).alias("s")).select("id", "s.n", "s.d1", "s.d2")
-    reps = scratch.put("reps", signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
+    reps = scratch.put("reps", signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.any_value("samples").alias("samples"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
     members = reps.select("id", F.explode("bands").alias("bucket"))
-    look = reps.select("id", "n", "sketch")
+    look = reps.select("id", F.struct("n", "samples", "sketch").alias("facts"))
 
     def verify(pairs: DataFrame, step: int) -> DataFrame:
-        a, b = (look.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-        likely = pairs.join(a, "a").join(b, "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate("sa", "sb") >= percent / 100 - MARGIN))
-        likely = scratch.put(f"likely-{step}", likely.select("a", "b"))
-        ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         full = scratch.put(f"sets-{step}", _sets(docs.join(ids, "id", "left_semi"), k).groupBy("id").agg(F.min_by("items", F.size("items")).alias("items")))
         a, b = (full.select(F.col("id").alias(x), F.col("items").alias(f"x{x}")) for x in "ab")
-        both = likely.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("xa", "xb")))
+        both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("xa", "xb")))
         return both.where(100 * F.col("shared") >= percent * (F.size("xa") + F.size("xb") - F.col("shared")))
 
-    groups = link(members, verify, scratch)
+    groups = link(members, look, lambda a, b: likely(a, b, percent), verify, scratch)
     nodes = reps.select("n", "d1", "d2", F.col("id").alias("rep")).join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     out = single.join(nodes, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("comp", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
