@@ -53,7 +53,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return roots
 
 
-def link(members: DataFrame, look: DataFrame, screen: Callable[[str, str], Column], verify: Callable[[DataFrame, int], DataFrame], scratch: Scratch) -> DataFrame:
+def link(members: DataFrame, look: DataFrame, screen: Callable[[str, str], Column], verify: Callable[[DataFrame, int], DataFrame], scratch: Scratch, within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, comp) of all ids that a verified link joins to another.
 
     members: (bucket, id), ids of type long; look: (id, facts), facts a struct; screen gives the condition, on two
@@ -64,6 +64,9 @@ def link(members: DataFrame, look: DataFrame, screen: Callable[[str, str], Colum
     gives the linked ones.  Leaders then leave the bucket, as each of their links in it is known, and a bucket whose
     other members are all of one group is done.  So no link between groups is lost, while a bucket of one group costs
     as many pairs as it has members.
+
+    within, if given, takes the place of all rounds after the first: it gets the open buckets' members (bucket, id,
+    comp) and gives every likely pair of theirs from different groups.
     """
     size = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader")
     active = scratch.put("active-0", members.join(size, "bucket").select("bucket", "id", "leader"))
@@ -84,6 +87,10 @@ def link(members: DataFrame, look: DataFrame, screen: Callable[[str, str], Colum
         scratch.drop(f"active-{k - 1}", f"rest-{k - 1}", f"pairs-{k - 1}", f"lead-{k - 1}")
         if not active.count():
             return groups
+        if within:
+            pairs = within(active).select("a", "b").distinct()
+            edges = scratch.put(f"edges-{k}", verify(scratch.put(f"pairs-{k}", pairs), k).select("a", "b"))
+            return components(found.union(edges), scratch, f"groups-{k}") if edges.count() else groups
         order = Window.partitionBy("bucket").orderBy(F.xxhash64("id", F.lit(k)), "id")
         first = LEADERS[min(k, len(LEADERS) - 1)]
         lead = scratch.put(f"lead-{k}", active.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first).select("bucket", F.col("id").alias("a"), F.col("comp").alias("of")).join(side("a"), "a"))

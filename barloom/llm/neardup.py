@@ -7,8 +7,8 @@ Equal samples flip the same bit, so the population count of two sketches' XOR es
 more precisely the fewer do.  Candidates whose estimate lies SIGMAS standard errors below what the threshold lets
 expect go; all others are confirmed on the full sets.  Documents of equal sets are one node throughout.
 
-At 40 bands of 5 rows a pair at similarity 0.8 is no candidate with probability 1.3e-7, and one below by six
-standard errors has probability 1e-9.
+At 40 bands of 5 rows a pair at similarity 0.8 is no candidate with probability 1.3e-7, and one whose sketches
+mislead by five standard errors has 3e-7.
 
 Defined results: a text of fewer than K words is one shingle, its whole sequence; null, empty and wordless texts
 have no shingles and are linked with nothing; repeated rows of one id are one document (its least set counts);
@@ -32,7 +32,9 @@ BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
 BINS = 8192
 SKETCH_BITS = 2048
-SIGMAS = 6.0
+SIGMAS = 5.0
+SLACK = 0.25
+BLOCK_ROWS = 1024
 
 
 def shingles(t: kernel.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,12 +139,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def likely(a: str, b: str, percent: int) -> Column:
-    """Whether two sketches' facts (n, samples, sketch) leave room for a similarity of percent.
-
-    From u differing bits, the samples that differ number about -bits / 2 ln(1 - 2 u / bits).  At the threshold the
-    union has all / (1 + j) shingles, which fill parts of the hash range as balls fill bins, and a share j of the
-    filled parts agrees.  The standard error has the part of the union that shares bins, and the bitmap's.
-    """
+    """Whether two sketches' facts (n, samples, sketch) leave room for a similarity of percent; see ``room``."""
     x, y, j, bits = F.col(a), F.col(b), percent / 100, float(SKETCH_BITS)
     u = sum((F.bit_count(x["sketch"][i].bitwiseXOR(y["sketch"][i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
     differ = -F.lit(bits / 2) * F.ln(F.greatest(1 - 2 * u / F.lit(bits), F.lit(1e-9)))
@@ -151,9 +148,98 @@ def likely(a: str, b: str, percent: int) -> Column:
     filled = F.lit(float(BINS)) * (1 - F.exp(-union / F.lit(float(BINS))))
     m = F.greatest(x["samples"] + y["samples"] - 2 * j * filled, F.lit(0.0))
     e4 = F.exp(-4 * m / F.lit(bits))
-    spread = (F.lit(bits / 4) * (1 - e4) - m * e4) / e4 / 4 + j * (1 - j) * filled * F.greatest(1 - filled / union, F.lit(0.0))
+    spread = F.greatest((F.lit(bits / 4) * (1 - e4) - m * e4) / e4 / 4, F.lit(0.0)) + j * (1 - j) * filled * F.greatest(1 - filled / union, F.lit(0.0))
     sizes = 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
-    return sizes & (agree >= j * filled - F.lit(SIGMAS) * F.sqrt(spread + 1) - 2)
+    return sizes & (agree >= j * filled - F.lit(SIGMAS) * F.sqrt(spread + SLACK) - SLACK)
+
+
+def room(n: np.ndarray, samples: np.ndarray, u: np.ndarray, percent: int) -> np.ndarray:
+    """The same in numpy; n and samples: two rows of pairs, u: the bits that differ.
+
+    u differing bits come of about -bits / 2 ln(1 - 2 u / bits) differing samples.  At the threshold the union has
+    all / (1 + j) shingles, which fill parts of the hash range as balls fill bins, and a share j of the filled parts
+    agrees.  The variance is that of the bitmap and of the shingles that share a part.
+    """
+    j, bits = percent / 100, float(SKETCH_BITS)
+    agree = (samples.sum(0) + bits / 2 * np.log(np.maximum(1 - 2 * u / bits, 1e-9))) / 2
+    union = n.sum(0) / (1 + j)
+    filled = BINS * (1 - np.exp(-union / BINS))
+    m = np.maximum(samples.sum(0) - 2 * j * filled, 0)
+    e4 = np.exp(-4 * m / bits)
+    spread = np.maximum((bits / 4 * (1 - e4) - m * e4) / e4 / 4, 0) + j * (1 - j) * filled * np.maximum(1 - filled / union, 0)
+    return (100 * n.min(0) >= percent * n.max(0)) & (agree >= j * filled - SIGMAS * np.sqrt(spread + SLACK) - SLACK)
+
+
+def pairs_within(active: DataFrame, look: DataFrame, percent: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """Likely pairs (a, b) of different groups in each bucket of active (bucket, id, comp); look: (id, n, samples, sketch, bands).
+
+    A bucket of more than block members is dealt into blocks, and each two blocks are a piece of work, so that no
+    task holds more than two; sketches are compared in numpy, and a pair comes from its first common band alone.
+    """
+    blocks = active.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id", F.lit(41)), F.col("blocks")).cast("int")
+    dealt = active.join(blocks, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp")
+    rows = keyed.join(look, "id").select("bucket", "i", "j", "own", "id", "comp", "n", "samples", "sketch", "bands")
+    words = SKETCH_BITS // 64
+
+    def compare(key: tuple[int, int, int], own: np.ndarray, x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        bucket, i, j = key
+        left = np.flatnonzero(own == i)
+        right = left if i == j else np.flatnonzero(own == j)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        tile = max(1, (1 << 19) // max(1, len(right)))
+        for at in range(0, len(left), tile):
+            rows_ = left[at : at + tile]
+            u = np.zeros((len(rows_), len(right)), np.int32)
+            for w in range(words):
+                u += np.bitwise_count(x["sketch"][rows_, w][:, None] ^ x["sketch"][right, w][None, :])
+            r, c = np.nonzero(x["comp"][rows_][:, None] != x["comp"][right][None, :])
+            a, b = rows_[r], right[c]
+            keep = (x["id"][a] < x["id"][b]) if i == j else np.ones(len(a), bool)
+            a, b, u = a[keep], b[keep], u[r[keep], c[keep]]
+            keep = room(np.stack([x["n"][a], x["n"][b]]), np.stack([x["samples"][a], x["samples"][b]]), u, percent)
+            a, b = a[keep], b[keep]
+            if len(a):
+                first = (x["bands"][a] == x["bands"][b]).argmax(1)
+                keep = x["bands"][a, first] == bucket
+                out.append((x["id"][a[keep]], x["id"][b[keep]]))
+        a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (zip(*out, strict=True) if out else ((), ())))
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        held: pa.Table | None = None
+
+        def flush(t: pa.Table, last: bool):
+            """Works on all whole groups of t; gives what is left."""
+            t = t.combine_chunks()
+            keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
+            edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
+            stop = len(edges) - 1 if last else len(edges) - 2
+            x = {c: t.column(c).to_numpy() for c in ("id", "comp", "n", "samples", "own")}
+            for c, width in (("sketch", words), ("bands", BANDS)):
+                x[c] = t.column(c).combine_chunks().flatten().to_numpy().reshape(-1, width)
+            left, right = [], []
+            for g in range(stop):
+                s = slice(edges[g], edges[g + 1])
+                if edges[g + 1] - edges[g] > 1:
+                    a, b = compare(tuple(keys[edges[g]].tolist()), x["own"][s], {c: v[s] for c, v in x.items()})
+                    left.append(a)
+                    right.append(b)
+            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.empty(0, np.int64)) for v in (left, right)], schema=schema)
+            return made, None if last else t.slice(edges[stop])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows >= 4 * block:
+                made, held = flush(held, False)
+                yield made
+        if held is not None and held.num_rows:
+            yield flush(held, True)[0]
+
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,7 +262,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("xa", "xb")))
         return both.where(100 * F.col("shared") >= percent * (F.size("xa") + F.size("xb") - F.col("shared")))
 
-    groups = link(members, look, lambda a, b: likely(a, b, percent), verify, scratch)
+    facts = reps.select("id", "n", "samples", "sketch", "bands")
+    groups = link(members, look, lambda a, b: likely(a, b, percent), verify, scratch, lambda active: pairs_within(active, facts, percent))
     nodes = reps.select("n", "d1", "d2", F.col("id").alias("rep")).join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     out = single.join(nodes, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("comp", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
