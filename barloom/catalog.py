@@ -1,4 +1,5 @@
 """Imports every module that registers queries."""
 
+from barloom.operators import intraday, quality  # noqa: F401
 from barloom.queries import panel  # noqa: F401
 from barloom.registry import ORACLES, QUERIES  # noqa: F401
