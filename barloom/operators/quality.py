@@ -124,4 +124,4 @@ def upsert(k: Kit) -> str:
           FROM (SELECT new.symbol, new.close / old.close AS ratio FROM new JOIN old ON new.symbol = old.symbol AND new.ts = old.ts) n GROUP BY n.symbol),
     bad AS (SELECT symbol FROM c WHERE common >= 3 AND (apart > 0.1e0 OR mid < 0.5e0 OR mid > 2e0)),
     u AS (SELECT symbol, ts, close, 1 AS later FROM new UNION ALL SELECT old.symbol, old.ts, old.close, 0 AS later FROM old LEFT JOIN bad ON bad.symbol = old.symbol WHERE bad.symbol IS NULL)
-    SELECT symbol, ts, {r('close')} AS close FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY later DESC) AS k FROM u) x WHERE k = 1"""
+    SELECT symbol, ts, {r('close', 3)} AS close FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY later DESC) AS k FROM u) x WHERE k = 1"""
