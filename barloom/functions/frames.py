@@ -14,6 +14,8 @@ def plain(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame
     @functools.wraps(run)
     def out(g: pd.DataFrame) -> pd.DataFrame:
         made = run(g)
+        if not len(made):  # untyped empty columns don't convert
+            return made.astype({c: object if c == "symbol" else float for c in made.columns})
         return made.astype({c: object for c in made.columns if isinstance(made[c].dtype, pd.StringDtype)})
 
     out.__annotations__ = {}
