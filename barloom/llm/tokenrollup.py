@@ -64,8 +64,8 @@ class TokenRollup:
         added = changes.where(F.col("op").isin("insert", "revise")).select("doc_id", *KEYS, "n_tokens", F.lit(1).cast("long").alias("sign"))
         facts = added
         if self.batches():
-            taken = changes.where(F.col("op").isin("delete", "revise")).select("doc_id", F.col("tokenizer").alias("version")).distinct()
-            held = self.ledger().join(taken, (self.ledger()["doc_id"] == taken["doc_id"]) & self.ledger()["tokenizer"].eqNullSafe(taken["version"]), "left_semi")
+            taken = changes.where(F.col("op").isin("delete", "revise")).select(F.col("doc_id").alias("of"), F.col("tokenizer").alias("version")).distinct()
+            held = self.ledger().join(taken, (F.col("doc_id") == F.col("of")) & F.col("tokenizer").eqNullSafe(F.col("version")), "left_semi")
             back = held.groupBy("doc_id", *KEYS, "n_tokens").agg((-F.sum("sign")).alias("sign")).where("sign <> 0")
             facts = added.unionByName(back.select(*added.columns))
         facts.write.parquet(f"{at}/facts")
