@@ -1,7 +1,9 @@
 """Licence recognition in DataFrame functions only: sentences to identifiers, identifier sequences to licences.
 
-A text is cut into sentences at line breaks and after . ! ? ; : before white space; a sentence is normalised to its
-lower-case letters and digits with single spaces.  Known sentences have identifiers; the others are passed over.
+A text is cut into sentences after . ! ? ; : before white space (not in "v. 2"), at empty lines and around the address
+of the Apache licence; a sentence is normalised to its lower-case letters and digits with single spaces.  Known
+sentences are found as one or more whole lines or parts of lines, so wrapped texts count as unwrapped ones do, and a
+single line needs no stop.  They have identifiers; the others are passed over.
 A licence is found where its identifiers occur in order, with any others between.
 
 All is one projection of each row, so nothing is shuffled.  Texts without any of ANCHORS, one of which each known
@@ -30,7 +32,8 @@ SENTENCES = {
     "mit_warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "gpl3_work": "this work is licensed under the gnu general public license version 3",
     "gpl_free": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl_hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl_hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl_even": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "bsd_grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
@@ -51,7 +54,7 @@ RULES = [
     ("MIT", ["mit_licensed"]),
     ("MIT", ["mit_grant", "mit_condition", "mit_warranty"]),
     ("GPL-3.0-only", ["gpl3_work"]),
-    ("GPL-3.0-or-later", ["gpl_free", "gpl_hope"]),
+    ("GPL-3.0-or-later", ["gpl_free", "gpl_hope", "gpl_even"]),
     ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
     ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"]),
     ("ISC", ["isc_grant"]),
@@ -66,6 +69,8 @@ ANCHORS = ["license", "permission", "warrant", "redistribution", "rights reserve
 #: What stands between the words of a normalised sentence, and what ends a sentence.
 GAP = "[^a-z0-9]+"
 BREAK = r"([.!?;:])[ \t]+"
+#: In lower-case text: what always ends a sentence (marked H), while one line break may stand in a sentence (marked S).
+HARD = r"(?:https?://www\.apache\.org/licenses/license-2\.0|(?!(?<=\bv)\.[ \t\r\n]{1,9}[0-9])[.!?;:](?:[ \t]|\r?\n)|\n[^a-z0-9\n]*\n)"
 
 for _s in SENTENCES.values():
     if not any(a in _s for a in ANCHORS):
@@ -81,13 +86,26 @@ def rule_pattern(identifiers: list[str]) -> str:
     return "," + ",(?:.*,)?".join(identifiers) + ","
 
 
+def marked(text: Column) -> Column:
+    """The text's words with H, S or a blank between them, and H at both ends."""
+    out = F.regexp_replace(F.lower(text), HARD, "H")
+    for pattern, mark in (("[^a-z0-9H\n]+", " "), (" *\n[ \n]*", "S"), ("[ S]*H[ SH]*", "H")):
+        out = F.regexp_replace(out, pattern, mark)
+    return F.regexp_replace(F.concat(F.lit("H"), out, F.lit("H")), "[ S]*H[ SH]*", "H")
+
+
+def sentence_pattern(sentences: list[str]) -> str:
+    """Any of the sentences between marks, the longest first."""
+    each = [s.replace(" ", "[ S]") for s in sorted(sentences, key=len, reverse=True)]
+    return "(?<=[HS])(?:" + "|".join(each) + ")(?=[HS])"
+
+
 def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*[F.lit(x) for i, s in (sentences or SENTENCES).items() for x in (s, i)])
-    cut = F.split(F.regexp_replace(text, BREAK, "$1\n"), "\n")
-    likely = F.filter(cut, lambda s: s.rlike(anchor_pattern()))
-    normal = F.transform(likely, lambda s: F.trim(F.regexp_replace(F.lower(s), GAP, " ")))
-    found = F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    sentences = sentences or SENTENCES
+    known = F.create_map(*[F.lit(x) for i, s in sentences.items() for x in (s, i)])
+    met = F.regexp_extract_all(marked(text), F.lit(sentence_pattern(list(sentences.values()))), F.lit(0))
+    found = F.transform(met, lambda s: F.try_element_at(known, F.translate(s, "S", " ")))
     return F.when(text.rlike(anchor_pattern()), found).otherwise(F.array().cast("array<string>"))
 
 
