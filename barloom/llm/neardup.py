@@ -4,8 +4,8 @@ A document's set is its distinct K-word shingles (lower-cased A-Z, ASCII white s
 MinHash values of it give BANDS band keys.  BINS further MinHash samples, the least hash of each of BINS equal parts
 of the hash range, are folded into one parity bitmap of SKETCH_BITS, the odd sketch: each sample flips one bit.
 Equal samples flip the same bit, so the population count of two sketches' XOR estimates how many samples differ, the
-more precisely the fewer do.  Candidates whose estimate lies SIGMAS standard errors below what the threshold lets
-expect go; all others are confirmed on the full sets.  Documents of equal sets are one node throughout.
+more precisely the fewer do.  Candidates whose bits differ in SIGMAS standard errors more than the threshold lets expect go;
+all others are confirmed on the full sets.  Documents of equal sets are one node throughout.
 
 At 40 bands of 5 rows a pair at similarity 0.8 is no candidate with probability 1.3e-7, and one whose sketches
 mislead by five standard errors has 3e-7.
@@ -142,32 +142,38 @@ def likely(a: str, b: str, percent: int) -> Column:
     """Whether two sketches' facts (n, samples, sketch) leave room for a similarity of percent; see ``room``."""
     x, y, j, bits = F.col(a), F.col(b), percent / 100, float(SKETCH_BITS)
     u = sum((F.bit_count(x["sketch"][i].bitwiseXOR(y["sketch"][i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    differ = -F.lit(bits / 2) * F.ln(F.greatest(1 - 2 * u / F.lit(bits), F.lit(1e-9)))
-    agree = (x["samples"] + y["samples"] - differ) / 2
     union = (x["n"] + y["n"]) / F.lit(1 + j)
-    filled = F.lit(float(BINS)) * (1 - F.exp(-union / F.lit(float(BINS))))
+    free = lambda f: F.lit(1.0) - f["samples"] / F.lit(float(BINS))
+    beyond = lambda f: F.greatest(union - f["n"], F.lit(0.0))
+    filled = sum((f["samples"] + F.lit(float(BINS)) * free(f) * (1 - F.exp(-beyond(f) / F.lit(float(BINS)))) for f in (x, y)), F.lit(0.0)) / 2
+    drift = sum((beyond(f) * free(f) * (1 - free(f)) for f in (x, y)), F.lit(0.0)) / 4
     m = F.greatest(x["samples"] + y["samples"] - 2 * j * filled, F.lit(0.0))
     e4 = F.exp(-4 * m / F.lit(bits))
-    spread = F.greatest((F.lit(bits / 4) * (1 - e4) - m * e4) / e4 / 4, F.lit(0.0)) + j * (1 - j) * filled * F.greatest(1 - filled / union, F.lit(0.0))
+    agree = j * (1 - j) * filled * F.greatest(1 - filled / union, F.lit(0.0)) + j * j * drift
+    spread = F.greatest(F.lit(bits / 4) * (1 - e4) - m * e4, F.lit(0.0)) + 4 * e4 * agree
+    most = F.lit(bits / 2) * (1 - F.exp(-2 * m / F.lit(bits))) + F.lit(SIGMAS) * F.sqrt(spread + 4 * SLACK) + 2 * SLACK
     sizes = 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
-    return sizes & (agree >= j * filled - F.lit(SIGMAS) * F.sqrt(spread + SLACK) - SLACK)
+    return sizes & ((u <= most) | (most >= bits / 2))
 
 
 def room(n: np.ndarray, samples: np.ndarray, u: np.ndarray, percent: int) -> np.ndarray:
     """The same in numpy; n and samples: two rows of pairs, u: the bits that differ.
 
-    u differing bits come of about -bits / 2 ln(1 - 2 u / bits) differing samples.  At the threshold the union has
-    all / (1 + j) shingles, which fill parts of the hash range as balls fill bins, and a share j of the filled parts
-    agrees.  The variance is that of the bitmap and of the shingles that share a part.
+    At the threshold the union has all / (1 + j) shingles; those not in one text fill parts of the hash range that are
+    free of it as balls fill bins, and a share j of the filled parts agrees; m samples that differ leave about bits / 2 (1 - exp(-2 m / bits)) bits of u.
+    The variance is that of the bitmap and of the shingles that share a part.  Where the bound reaches bits / 2, what
+    unlike texts have, the sketches can't tell and every pair of fitting sizes stays.
     """
     j, bits = percent / 100, float(SKETCH_BITS)
-    agree = (samples.sum(0) + bits / 2 * np.log(np.maximum(1 - 2 * u / bits, 1e-9))) / 2
     union = n.sum(0) / (1 + j)
-    filled = BINS * (1 - np.exp(-union / BINS))
+    free, beyond = 1 - samples / BINS, np.maximum(union - n, 0)
+    filled = (samples + BINS * free * (1 - np.exp(-beyond / BINS))).sum(0) / 2
+    drift = (beyond * free * (1 - free)).sum(0) / 4
     m = np.maximum(samples.sum(0) - 2 * j * filled, 0)
     e4 = np.exp(-4 * m / bits)
-    spread = np.maximum((bits / 4 * (1 - e4) - m * e4) / e4 / 4, 0) + j * (1 - j) * filled * np.maximum(1 - filled / union, 0)
-    return (100 * n.min(0) >= percent * n.max(0)) & (agree >= j * filled - SIGMAS * np.sqrt(spread + SLACK) - SLACK)
+    spread = np.maximum(bits / 4 * (1 - e4) - m * e4, 0) + 4 * e4 * (j * (1 - j) * filled * np.maximum(1 - filled / union, 0) + j * j * drift)
+    most = bits / 2 * (1 - np.exp(-2 * m / bits)) + SIGMAS * np.sqrt(spread + 4 * SLACK) + 2 * SLACK
+    return (100 * n.min(0) >= percent * n.max(0)) & ((u <= most) | (most >= bits / 2))
 
 
 def pairs_within(active: DataFrame, look: DataFrame, percent: int, block: int = BLOCK_ROWS) -> DataFrame:
