@@ -37,8 +37,8 @@ def factor_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("num_overfit_probability")
 def overfit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the weekly returns of the brands as competing series (a matrix of brands by weeks, cut to 350 weeks)."""
-    wide = bars.bars_brand(spark, sf_dir).select("symbol", "ts", F.expr("coalesce(close / nullif(lag(close) over (partition by symbol order by ts), 0e0) - 1e0, 0e0)").alias("r")).groupBy("ts").pivot("symbol").agg(F.first("r")).orderBy("ts").limit(350).toPandas()
+    """Of the weekly returns of the brands as competing series (a matrix of brands by weeks)."""
+    wide = bars.bars_brand(spark, sf_dir).select("symbol", "ts", F.expr("coalesce(close / nullif(lag(close) over (partition by symbol order by ts), 0e0) - 1e0, 0e0)").alias("r")).groupBy("ts").pivot("symbol").agg(F.first("r")).orderBy("ts").toPandas()
     pbo = significance.overfit_probability(wide.drop(columns="ts").fillna(0.0).to_numpy().T, 8)
     return spark.createDataFrame([(pbo, significance.expected_max_sharpe(100))], "pbo double, expected_max_sharpe double")
 

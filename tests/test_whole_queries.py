@@ -1,0 +1,13 @@
+from barloom.operators import significance
+from barloom.queries import numeric
+from barloom.sources import bars
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_overfit_takes_all_weeks(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(significance, "overfit_probability", lambda pnl, blocks: seen.append(pnl.shape) or 0.5)
+    numeric.overfit(spark, SF)
+    b = bars.bars_brand(spark, SF).select("symbol", "ts").toPandas()
+    assert seen == [(b["symbol"].nunique(), b["ts"].nunique())] and seen[0][1] > 350
