@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from barloom.operators import evaluate, intraday, portfolio, quality  # noqa: F401
+from barloom.operators import backtest, evaluate, intraday, portfolio, quality  # noqa: F401
 from barloom.queries import numeric, panel  # noqa: F401
 from barloom.registry import ORACLES, QUERIES  # noqa: F401

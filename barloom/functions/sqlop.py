@@ -42,6 +42,29 @@ def sql_op(name: str, source: str = "brand"):
     return keep
 
 
+def panel_op(name: str, source: str, view: str):
+    """Registers text(kit, **options), SQL in which @panel stands for the panel, as a query on a view of bars.
+
+    The decorated name is a function (panel, **options) -> DataFrame for any panel; its defaults are the query's.
+    """
+
+    def keep(text: Callable[..., str]) -> Callable[..., DataFrame]:
+        def run(panel: DataFrame, **options) -> DataFrame:
+            return panel.sparkSession.sql(text(SPARK, **options).replace("@panel", "{panel}"), panel=panel)
+
+        run.__doc__, run.__name__ = text.__doc__, text.__name__
+        read, sql = SOURCES[source]
+        oracle = f"WITH the_panel AS ({view.replace('@bars', f'({sql})')}) SELECT * FROM ({text(DUCK).replace('@panel', 'the_panel')})"
+
+        def of_tables(spark, sf_dir):
+            return run(spark.sql(view.replace("@bars", "{bars}"), bars=read(spark, sf_dir)))
+
+        query(name, oracle)(of_tables)
+        return run
+
+    return keep
+
+
 def r(x: str, digits: int = 6) -> str:
     return f"round({x}, {digits}) + 0e0"
 

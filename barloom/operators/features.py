@@ -35,12 +35,7 @@ def feature(name: str, category: str):
 
 
 def norm(p: Plan, x: str, w: int = NORM_WINDOW) -> str:
-    k = p.k
-    x = p.let(k.scrub(p.let(x)))
-    frame = p.let(k.list(x, k.over(w)))
-    med = p.let(f"case when rn >= {w} then {k.at(k.sort(frame), str(w // 2))} end")
-    mad = p.let(f"case when rn >= {w} then {k.at(k.sort(k.map(frame, 'v', f'abs(v - {med})')), str(w // 2))} + 1e-6 end")
-    return f"case when rn < {w} then 0e0 else {k.clamp(f'({x} - {med}) / {mad}', '-5e0', '5e0')} end"
+    return p.norm(p.k.scrub(p.let(x)), w)
 
 
 def clean(p: Plan, x: str) -> str:

@@ -63,8 +63,8 @@ def daily(k: Kit) -> str:
 
 @sql_op("hf_expanding_z", "hour")
 def expanding_z(k: Kit) -> str:
-    """Expanding z of the daily amplitude from its 30th day."""
+    """Expanding z of the daily amplitude from its 30th day on; none before."""
     w = "OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return f"""WITH {_base(k)}, e AS (SELECT symbol, day, {COLUMNS['hf_intra_ampl']} AS x FROM h GROUP BY symbol, day),
     z AS (SELECT *, avg(x) {w} AS m, stddev_pop(x) {w} AS s, row_number() OVER (PARTITION BY symbol ORDER BY day) AS rn FROM e)
-    SELECT symbol, day, {r('CASE WHEN rn < 10 OR s < 1e-12 THEN 0e0 ELSE (x - m) / s END')} AS value FROM z"""
+    SELECT symbol, day, {r('CASE WHEN rn >= 30 AND s > 1e-9 THEN (x - m) / s END')} AS value FROM z"""

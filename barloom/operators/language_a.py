@@ -6,6 +6,7 @@ are zero-padded: a frame at row t < d counts as if d - t zeros came before it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -34,16 +35,19 @@ def operator(name: str, arity: int):
 
 # building blocks -----------------------------------------------------------------------------------------------
 def var(p: Plan, x: str, d: int) -> str:
-    """Population variance of the zero-padded window."""
-    return f"greatest({p.k.mean(f'{x} * {x}', d)} - {p.k.mean(x, d)} * {p.k.mean(x, d)}, 0e0)"
+    """Population variance of the zero-padded window, from centred sums: n real values and d - n zeros."""
+    v, m, n = p.let(f"var_pop({x}) {p.k.over(d)}"), p.let(f"avg({x}) {p.k.over(d)}"), f"least(rn, {d})"
+    return f"({n} * {v} / {d}e0 + {n} * ({d} - {n}) * {m} * {m} / {d * d}e0)"
 
 
 def std(p: Plan, x: str, d: int) -> str:
-    return p.let(f"sqrt({var(p, x, d)})")
+    return p.let(f"sqrt({var(p, p.let(x), d)})")
 
 
 def cov(p: Plan, x: str, y: str, d: int) -> str:
-    return p.let(f"{p.k.mean(f'{x} * {y}', d)} - {p.k.mean(x, d)} * {p.k.mean(y, d)}")
+    x, y, n = p.let(x), p.let(y), f"least(rn, {d})"
+    c, mx, my = p.let(f"covar_pop({x}, {y}) {p.k.over(d)}"), p.let(f"avg({x}) {p.k.over(d)}"), p.let(f"avg({y}) {p.k.over(d)}")
+    return p.let(f"({n} * {c} / {d}e0 + {n} * ({d} - {n}) * {mx} * {my} / {d * d}e0)")
 
 
 def corr(p: Plan, x: str, y: str, d: int) -> str:
@@ -53,14 +57,17 @@ def corr(p: Plan, x: str, y: str, d: int) -> str:
 
 
 def ema(p: Plan, x: str, span: int) -> str:
-    """Exact recursion a x[t] + (1 - a) y[t-1] from y[0] = x[0], as one running sum of x[i] (1 - a)^-i.
+    """Exact recursion a x[t] + (1 - a) y[t-1] from y[0] = x[0], at any length.
 
-    The powers stay in range while rows per symbol times -ln(1 - a) is below 700: 1,700 rows at span 5 and more at
-    longer spans.  ``functions.recursive.ema`` serves longer series.
+    Rows are cut into blocks in which (1 - a)^-i grows to about e^600.  Inside a block the recursion is one running sum
+    of x[i] (1 - a)^-i; of earlier rows the last block's end is carried on, whose own past weighs e^-600.
     """
     a = 2.0 / (span + 1.0)
-    x = p.let(x)
-    return p.let(f"sum((case when rn = 1 then 1e0 else {a!r} end) * {x} * pow({1 - a!r}, -cast(rn as double))) {p.k.ever} * pow({1 - a!r}, cast(rn as double))")
+    q, size = repr(1 - a), int(600 / -math.log(1 - a))
+    x, block, i = p.let(x), p.let(f"floor((rn - 1) / {size}e0)"), p.let(f"cast((rn - 1) % {size} as double)")
+    own = p.let(f"sum((case when rn = 1 then 1e0 else {a!r} end) * {x} * pow({q}, -{i})) over (partition by symbol, {block} order by ts rows between unbounded preceding and current row) * pow({q}, {i})")
+    ends = p.let(f"case when rn % {size} = 0 then {own} end")
+    return p.let(f"{own} + pow({q}, {i} + 1e0) * coalesce({p.k.last(ends)} over ({p.k.P} rows between unbounded preceding and 1 preceding), 0e0)")
 
 
 def fmax(p: Plan, x: str, d: int) -> str:
@@ -104,8 +111,8 @@ operator("GATE", 3)(lambda p, c, x, y: f"case when {c} > 0e0 then {x} else {y} e
 
 @operator("JUMP", 1)
 def _(p: Plan, x: str) -> str:
-    mean, square = p.let(f"avg({x}) {p.k.ever}"), p.let(f"avg({x} * {x}) {p.k.ever}")
-    z = p.let(f"({x} - {mean}) / (sqrt(greatest({square} - {mean} * {mean}, 1e-12)) + 1e-6)")
+    mean, square = p.let(f"avg({x}) {p.k.ever}"), p.let(f"var_pop({x}) {p.k.ever}")
+    z = p.let(f"({x} - {mean}) / (sqrt(greatest({square}, 1e-12)) + 1e-6)")
     n = p.let("count(*) over (partition by symbol)")
     return f"case when rn <= 5 and {n} > 5 then 0e0 else {p.k.tanh(f'{z} - 1.5e0')} end"
 

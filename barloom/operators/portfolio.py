@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from barloom.functions.sqlop import P, r, safe_corr, sql_op
+from barloom.operators.backtest import limit_of
 from barloom.plans.staged import Kit
 
 X = "PARTITION BY ts"
@@ -120,8 +121,8 @@ def style_exposure(k: Kit) -> str:
 
 @sql_op("pf_limit_prefix", "supp")
 def limit_by_prefix(k: Kit) -> str:
-    """Daily limit by the symbol's prefix, first match counts."""
-    return "SELECT DISTINCT symbol, CASE WHEN symbol LIKE 'S1%' THEN 0.199e0 WHEN symbol LIKE 'S2%' THEN 0.299e0 ELSE 0.099e0 END AS lim FROM @bars"
+    """Daily limit by the board's prefix of the code, first match counts; the bars' symbols get one here."""
+    return f"SELECT symbol, {limit_of()} AS lim FROM (SELECT DISTINCT CASE WHEN symbol LIKE '%3' THEN 'sh688' || symbol WHEN symbol LIKE '%7' THEN 'sz30' || symbol ELSE 'sh600' || symbol END AS symbol FROM @bars) x"
 
 
 @sql_op("st_composite", "supp")
@@ -137,7 +138,7 @@ def composite(k: Kit) -> str:
 def rank_average(k: Kit) -> str:
     """Min-max of average ranks of several scores per time, weighted over those present."""
     rank = lambda x: f"(rank() OVER ({X} ORDER BY {x}) + (count(*) OVER ({X}, {x}) - 1) / 2e0 - 1e0) / nullif(count(*) OVER ({X}) - 1, 0)"
-    return f"WITH {BASE} SELECT symbol, ts, {r('(0.7e0 * s1 + 0.3e0 * s2) / 1e0')} AS score FROM (SELECT symbol, ts, {rank('f1')} AS s1, {rank('f2')} AS s2 FROM q) x"
+    return f"WITH {BASE} SELECT symbol, ts, {r('(0.7e0 * coalesce(s1, 0e0) + 0.3e0 * coalesce(s2, 0e0)) / nullif(CASE WHEN s1 IS NULL THEN 0e0 ELSE 0.7e0 END + CASE WHEN s2 IS NULL THEN 0e0 ELSE 0.3e0 END, 0e0)')} AS score FROM (SELECT a.symbol, a.ts, a.s1, b.s2 FROM (SELECT symbol, ts, {rank('f1')} AS s1 FROM q) a LEFT JOIN (SELECT symbol, ts, {rank('f2')} AS s2 FROM q WHERE volume > 20e0) b ON b.symbol = a.symbol AND b.ts = a.ts) x"
 
 
 @sql_op("st_dataset", "supp")

@@ -13,8 +13,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Kit:
@@ -44,6 +47,10 @@ class Kit:
         """Of a window whose missing head counts as zeros."""
         return f"(sum({x}) {self.over(d)} / {d}e0)"
 
+    def last(self, x: str) -> str:
+        """The last value that is not null; a window follows."""
+        return f"last_value({x} ignore nulls)" if self.duck else f"last_value({x}, true)"
+
     def list(self, x: str, frame: str) -> str:
         return f"{'list' if self.duck else 'collect_list'}({x}) {frame}"
 
@@ -117,6 +124,35 @@ class Kit:
 
 SPARK, DUCK = Kit(False), Kit(True)
 _NAME = re.compile(r"\b_[a-z0-9_]+\b")
+_ANY = re.compile(r"\b[a-z_][a-z0-9_]*\b")
+NORM_ROWS = 4096
+
+
+def rolling_scores(x: np.ndarray, w: int) -> np.ndarray:
+    """Robust z-scores of one series in time order; NORM_ROWS windows are in memory at once."""
+    out = np.zeros(len(x))
+    at = max(w // 2 - 1, 0)
+    for lo in range(w - 1, len(x), NORM_ROWS):
+        hi = min(len(x), lo + NORM_ROWS)
+        win = np.lib.stride_tricks.sliding_window_view(x[lo - w + 1 : hi], w)
+        med = np.partition(win, at, axis=1)[:, at]
+        mad = np.partition(np.abs(win - med[:, None]), at, axis=1)[:, at] + 1e-6
+        out[lo:hi] = np.clip((x[lo:hi] - med) / mad, -5, 5)
+    return out
+
+
+def robust_scores(df: DataFrame, norms: list[tuple[str, str]]) -> DataFrame:
+    """df with a column for each (name, "@norm(column, window)"), per symbol in order of ts."""
+    todo = [(n, *re.fullmatch(r"@norm\((\w+), (\d+)\)", e).groups()) for n, e in norms]
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n, _ in norms)])
+
+    def run(g: pa.Table) -> pa.Table:
+        g = g.sort_by("ts")
+        for name, x, w in todo:
+            g = g.append_column(name, pa.array(rolling_scores(g[x].to_numpy().astype(float), int(w))))
+        return g
+
+    return df.groupBy("symbol").applyInArrow(run, schema)
 
 
 class Plan:
@@ -146,11 +182,35 @@ class Plan:
         self._made[expr] = name
         return name
 
+    def norm(self, x: str, w: int) -> str:
+        """Rolling robust z-score of a column: lower median of w rows, lower median of the distances from it, clamp 5; 0
+        before the window is full.
+
+        In SQL every row holds and sorts its window; on Spark all such columns of a stage are worked out together, in
+        Arrow batches of one symbol each.
+        """
+        x, k = self.let(x), self.k
+        if not k.duck:
+            return self.let(f"@norm({x}, {w})")
+        frame = self.let(k.list(x, k.over(w)))
+        med = self.let(f"case when rn >= {w} then {k.at(k.sort(frame), str(w // 2))} end")
+        mad = self.let(f"case when rn >= {w} then {k.at(k.sort(k.map(frame, 'v', f'abs(v - {med})')), str(w // 2))} + 1e-6 end")
+        return f"case when rn < {w} then 0e0 else {k.clamp(f'({x} - {med}) / {mad}', '-5e0', '5e0')} end"
+
     def spark(self, base: DataFrame, out: dict[str, str], keys: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
-        df = base
-        for stage in self.stages:
-            if stage:
-                df = df.select("*", *[F.expr(e).alias(n) for n, e in stage])
+        df, late = base, []
+        for i, stage in enumerate(self.stages):
+            plain = [(n, e) for n, e in stage if not e.startswith("@norm")]
+            norms = [(n, e) for n, e in stage if e.startswith("@norm")]
+            if plain:
+                df = df.select("*", *[F.expr(e).alias(n) for n, e in plain])
+            read = {x for later in self.stages[i + 1 :] for _, e in later for x in _NAME.findall(e)}
+            late += [x for x in norms if x[0] not in read]
+            if now := [x for x in norms if x[0] in read]:
+                df = robust_scores(df, now)
+        if late:
+            wanted = {*keys, *(x for e in out.values() for x in _ANY.findall(e)), *(x for _, e in late for x in _ANY.findall(e))}
+            df = robust_scores(df.select(*[c for c in df.columns if c in wanted or c in ("symbol", "ts")]), late)
         return df.select(*keys, *[F.expr(e).alias(n) for n, e in out.items()])
 
     def sql(self, base: str, out: dict[str, str], keys: tuple[str, ...] = ("symbol", "ts")) -> str:

@@ -49,7 +49,7 @@ def _formula(**over) -> formula_b.ParamFormula:
 
 
 for _name, _f in indicators.INDICATORS.items():
-    panel_query(f"ind_{_name}", lambda p, f=_f: f(p), digits=2 if _name in ("amount", "willr_14", "cci_14", "obv_slope", "amt_per_trade") else 6)
+    panel_query(f"ind_{_name}", lambda p, f=_f: f(p))
 for _op in formula_b.UNARY:
     panel_query(f"pvm_{_op}", lambda p, o=_op: reducers.evaluate(p, _formula(mode1=o), post=False))
     if _op not in ("Last", "Momentum", "Volatility"):
