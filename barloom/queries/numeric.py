@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +15,7 @@ from barloom.operators import models, optimize, search, significance
 from barloom.registry import query
 from barloom.session import table
 from barloom.sources import bars, store
+from barloom.sources.codes import normalized
 from barloom.streaming import bars as stream
 
 STYLES = ["mom", "vol", "turn"]
@@ -67,7 +71,10 @@ def limit_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy("ts").agg((F.sum(F.col("last") * safe) - 0.0003 * F.sum(F.abs(F.col("held") - F.col("last")))).alias("pnl"))
 
 
-@query("num_ema_long")
+_NUMBERED = f"SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM ({bars.BRAND_SQL})"
+
+
+@query("num_ema_long", f"WITH RECURSIVE b AS ({_NUMBERED}), e AS (SELECT symbol, ts, close, rn, close AS ema FROM b WHERE rn = 1 UNION ALL SELECT b.symbol, b.ts, b.close, b.rn, 2e0 / 21e0 * b.close + 19e0 / 21e0 * e.ema FROM e JOIN b ON b.symbol = e.symbol AND b.rn = e.rn + 1) SELECT symbol, ts, close, ema FROM e")
 def ema_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recursive.ema(bars.bars_brand(spark, sf_dir).select("symbol", "ts", "close"), "close", 20)
 
@@ -82,7 +89,7 @@ def nsga(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(f.signature(), *map(float, s)) for f, s in found], "formula string, ic double, one_sign double, steadiness double")
 
 
-@query("store_round_trip")
+@query("store_round_trip", bars.BRAND_SQL)
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars put into a fresh store in two overlapping halves, and read back."""
     place = store.BarStore(spark, f"{_scratch(spark)}/bars-{uuid.uuid4().hex}", 8)
@@ -93,24 +100,40 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    import tempfile
+    """A new folder in the one that all executors share; where none is set, in local mode, one that goes with the driver."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="barloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        shared = f"file://{own}"
+    return f"{shared.rstrip('/')}/barloom-core"
+
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return (shared or "file://" + tempfile.mkdtemp(prefix="barloom-")).rstrip("/")
+_DAILY = """SELECT event_type AS symbol, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) * 86400 AS ts, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+  arg_max(value, row(ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume, arg_max(value, row(ts, event_id)) * count(*) AS amount FROM events GROUP BY ALL"""
 
 
-@query("stream_daily_bars")
+@query("stream_daily_bars", _DAILY.replace("GROUP BY ALL", "GROUP BY event_type, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))"))
 def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of the event stream, run to its end into a table; all but the days still open under the watermark."""
-    name = f"daily_{uuid.uuid4().hex}"
-    at = f"{_scratch(spark)}/{name}"
-    run = stream.daily(stream.events(spark, sf_dir)).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+    """Daily bars of the event stream, run to its end; days still open count as they are then."""
+    at = f"{_scratch(spark)}/daily-{uuid.uuid4().hex}"
+    run = stream.daily(stream.events(spark, sf_dir)).writeStream.outputMode("update").foreachBatch(stream.revisions_into(f"{at}/out")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema("symbol string, ts long, open double, high double, low double, close double, volume double, amount double").parquet(f"{at}/out")
+    return stream.latest(spark, f"{at}/out")
 
 
-@query("scan_codes")
-def scan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from barloom.sources.codes import normalized
+_K = "lpad(CAST(s_suppkey AS VARCHAR), 5, '0')"
+_KIND = "CASE s_suppkey % 4 WHEN 2 THEN {} WHEN 3 THEN {} ELSE {} END"
+_CODE = _KIND.format(f"'3' || {_K}", f"'RB' || right({_K}, 4)", f"'6' || {_K}")
+_MARKET = _KIND.format("'sz'", "'fut'", "'sh'")
+
 
-    return normalized(table(spark, sf_dir, "supplier").select(F.concat(F.lit("SH6"), F.lpad(F.col("s_suppkey").cast("string"), 5, "0")).alias("code")), "code")
+@query("scan_codes", f"SELECT {_MARKET} AS market, {_CODE} AS code, {_KIND.format(f"'sz3' || {_K}", f"'RB' || right({_K}, 4)", f"'sh6' || {_K}")} AS symbol, false AS is_index FROM supplier")
+def scan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' keys written as instrument codes in four forms, and normalised."""
+    k = F.lpad(F.col("s_suppkey").cast("string"), 5, "0")
+    form = F.col("s_suppkey") % 4
+    written = F.when(form == 0, F.concat(F.lit(" SH6"), k)).when(form == 1, F.concat(F.lit("6"), k, F.lit(".SH"))).when(form == 2, F.concat(F.lit("3"), k)).otherwise(F.concat(F.lit("rb"), F.right(k, F.lit(4))))
+    return normalized(table(spark, sf_dir, "supplier").select(written.alias("code")), "code")

@@ -1,8 +1,8 @@
 """Bar, factor and label stores on Parquet.
 
-A store is a folder of immutable versions, and a pointer file that names the current one; a write makes a new version
-and then moves the pointer, so readers never see half of it.  Bars are partitioned by a hash of the symbol, and an
-upsert rewrites only the parts whose symbols it touches.
+A store is a folder of immutable versions and a log, whose last entry names the current ones; a write makes a new
+version and then adds an entry, so readers never see half of it, and of two writers the second merges anew.  Bars are
+partitioned by a hash of the symbol, and an upsert rewrites only the parts whose symbols it touches.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.plans.formula_a import formula_hash
+from barloom.sources.log import Log
 
 BAR_COLUMNS = ["symbol", "ts", "open", "high", "low", "close", "volume", "amount"]
 PARTS = 64
@@ -37,17 +38,15 @@ def merge_bars(old: DataFrame, new: DataFrame, least: int = 3, share: float = 0.
 class BarStore:
     def __init__(self, spark: SparkSession, path: str, parts: int = PARTS):
         self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
+        self.log = Log(spark, self.path)
 
-    def _pointer(self) -> dict[int, str]:
-        try:
-            return {r.part: r.folder for r in self.spark.read.schema("part int, folder string").json(f"{self.path}/_current").collect()}
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return {}
-            raise
+    def _pointer(self) -> tuple[int, dict[int, str]]:
+        """The number of the next version, and the folder of each part now."""
+        number, entry = self.log.last()
+        return number, {int(p): f for p, f in (entry or {}).items()}
 
     def load(self, symbols: list[str] | None = None) -> DataFrame:
-        now = self._pointer()
+        _, now = self._pointer()
         schema = "symbol string, ts long, open double, high double, low double, close double, volume double, amount double"
         if not now:
             return self.spark.createDataFrame([], schema)
@@ -58,15 +57,17 @@ class BarStore:
         """Rewrites the parts that new's symbols hash to; the others keep their files."""
         new = new.withColumn("_part", F.pmod(F.xxhash64("symbol"), F.lit(self.parts)).cast("int"))
         touched = sorted(r[0] for r in new.select("_part").distinct().collect())
-        now, version = self._pointer(), uuid.uuid4().hex
-        held = [f"{self.path}/{now[p]}" for p in touched if p in now]
-        out = new.drop("_part").select(*BAR_COLUMNS)
-        if held:
-            out = merge_bars(self.spark.read.parquet(*held).select(*BAR_COLUMNS), out)
-        out = out.withColumn("part", F.pmod(F.xxhash64("symbol"), F.lit(self.parts)).cast("int"))
-        out.repartition("part").sortWithinPartitions("symbol", "ts").write.partitionBy("part").parquet(f"{self.path}/{version}")
-        now |= {p: f"{version}/part={p}" for p in touched}
-        self.spark.createDataFrame(sorted(now.items()), "part int, folder string").coalesce(1).write.mode("overwrite").json(f"{self.path}/_current")
+        while True:
+            (number, now), version = self._pointer(), uuid.uuid4().hex
+            held = [f"{self.path}/{now[p]}" for p in touched if p in now]
+            out = new.drop("_part").select(*BAR_COLUMNS)
+            if held:
+                out = merge_bars(self.spark.read.parquet(*held).select(*BAR_COLUMNS), out)
+            out = out.withColumn("part", F.pmod(F.xxhash64("symbol"), F.lit(self.parts)).cast("int"))
+            out.repartition("part").sortWithinPartitions("symbol", "ts").write.partitionBy("part").parquet(f"{self.path}/{version}")
+            if self.log.append(number, now | {p: f"{version}/part={p}" for p in touched}):
+                return
+            self.log.delete(version)
 
 
 class FactorStore:

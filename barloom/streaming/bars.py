@@ -26,6 +26,26 @@ def daily(stream: DataFrame, late: str = "2 days") -> DataFrame:
     ).select("symbol", F.unix_timestamp(F.col("window.start")).alias("ts"), "open", "high", "low", "close", "volume", (F.col("close") * F.col("volume")).alias("amount"))
 
 
+BARS = "symbol string, ts long, open double, high double, low double, close double, volume double, amount double"
+
+
+def revisions_into(folder: str):
+    """For writeStream.foreachBatch in update mode: each batch's bars, whole or still open, in a folder of its own, which
+    a batch that is sent again writes anew."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+
+    return write
+
+
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each bar that ``revisions_into`` wrote, the last revision."""
+    found = spark.read.schema(f"{BARS}, epoch int").parquet(folder)
+    values = ["open", "high", "low", "close", "volume", "amount"]
+    return found.groupBy("symbol", "ts").agg(F.max_by(F.struct(*values), "epoch").alias("x")).select("symbol", "ts", *(f"x.{c}" for c in values))
+
+
 def upsert_into(store: BarStore):
     """For writeStream.foreachBatch; a batch that is sent again writes the same bars."""
 
