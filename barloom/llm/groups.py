@@ -53,47 +53,75 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return roots
 
 
-def link(members: DataFrame, look: DataFrame, screen: Callable[[str, str], Column], verify: Callable[[DataFrame, int], DataFrame], scratch: Scratch, within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def active_of(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, id, leader): the members (bucket, id) of all buckets of two ids or more, and the least id of each."""
+    size = scratch.put("size", members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader"))
+    active = scratch.put("active-0", members.join(size, "bucket").select("bucket", "id", "leader"))
+    scratch.drop("size")
+    return active
+
+
+def merge(groups: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """groups (id, comp), joined by further edges (a, b): only what the edges touch is worked out again."""
+    a, b = (groups.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    over = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    roots = components(over, scratch, name)
+    moved = groups.join(roots.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    return scratch.put(name, moved.unionByName(roots.join(groups, "id", "left_anti")))
+
+
+def link(
+    active: DataFrame,
+    look: DataFrame,
+    screen: Callable[..., Column],
+    verify: Callable[[DataFrame, int], DataFrame],
+    scratch: Scratch,
+    within: Callable[[DataFrame], DataFrame] | None = None,
+    leaders: tuple[int, ...] = LEADERS,
+) -> DataFrame:
     """(id, comp) of all ids that a verified link joins to another.
 
-    members: (bucket, id), ids of type long; look: (id, facts), facts a struct; screen gives the condition, on two
-    columns of facts, that a pair must meet to be worth verifying.
+    active: the table of ``active_of``; look: (id, facts), facts a struct; screen gives the condition, on two columns of
+    facts, that a pair must meet to be worth verifying; with a third column, the bucket, it may have a pair come from one of
+    its common buckets alone, in rounds after the first.
 
-    In each round some members of each bucket, its leaders, are compared with all its other members outside their
-    group.  Pairs are screened inside the join, so only likely ones leave it; verify gets those (a, b), distinct, and
-    gives the linked ones.  Leaders then leave the bucket, as each of their links in it is known, and a bucket whose
-    other members are all of one group is done.  So no link between groups is lost, while a bucket of one group costs
-    as many pairs as it has members.
+    In each round some members of each bucket, its leaders (their number by round; the last holds from there on), are
+    compared with all its other members outside their group.  Pairs are screened inside the join, so only likely ones
+    leave it; verify gets those (a, b), distinct, and gives the linked ones.  Leaders then leave the bucket, as each of
+    their links in it is known, and a bucket whose other members are all of one group is done.  So no link between
+    groups is lost, while a bucket of one group costs as many pairs as it has members.
 
     within, if given, takes the place of all rounds after the first: it gets the open buckets' members (bucket, id,
     comp) and gives every likely pair of theirs from different groups.
+
+    What is grouped is written before it is joined, so that both sides of a join on a hot key come from a shuffle and
+    Spark can split them.
     """
-    size = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader")
-    active = scratch.put("active-0", members.join(size, "bucket").select("bucket", "id", "leader"))
     side = lambda x: look.select(F.col("id").alias(x), F.col("facts").alias(f"f{x}"))
     pairs = active.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(screen("fa", "fb"))
     rest = active.where("id <> leader").select("bucket", "id")
-    found, groups, k = None, None, 0
+    groups, k = None, 0
     while True:
         edges = scratch.put(f"edges-{k}", verify(scratch.put(f"pairs-{k}", pairs.select("a", "b")), k).select("a", "b"))
-        found = edges if found is None else found.union(edges)
-        if groups is None or edges.count():
-            groups = components(found, scratch, f"groups-{k}")
+        if groups is None:
+            groups = components(edges, scratch, f"groups-{k}")
+        elif edges.count():
+            groups = merge(groups, edges, scratch, f"groups-{k}")
         rest = scratch.put(f"rest-{k}", rest.join(groups, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp")))
-        open_ = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        open_ = scratch.put(f"open-{k}", rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"))
         k += 1
         active = scratch.put(f"active-{k}", rest.join(open_, "bucket", "left_semi"))
-        scratch.drop(f"active-{k - 1}", f"rest-{k - 1}", f"pairs-{k - 1}", f"lead-{k - 1}")
+        scratch.drop(*(f"{x}-{k - 1}" for x in ("active", "rest", "open", "pairs", "lead")))
         if not active.count():
             return groups
         if within:
             pairs = within(active).select("a", "b").distinct()
             edges = scratch.put(f"edges-{k}", verify(scratch.put(f"pairs-{k}", pairs), k).select("a", "b"))
-            return components(found.union(edges), scratch, f"groups-{k}") if edges.count() else groups
+            return merge(groups, edges, scratch, f"groups-{k}") if edges.count() else groups
         order = Window.partitionBy("bucket").orderBy(F.xxhash64("id", F.lit(k)), "id")
-        first = LEADERS[min(k, len(LEADERS) - 1)]
+        first = leaders[min(k, len(leaders) - 1)]
         lead = scratch.put(f"lead-{k}", active.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first).select("bucket", F.col("id").alias("a"), F.col("comp").alias("of")).join(side("a"), "a"))
-        other = active.withColumnRenamed("id", "b").join(side("b"), "b")
-        pairs = other.join(lead, (other["bucket"] == lead["bucket"]) & (F.col("comp") != F.col("of")) & screen("fa", "fb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        other = active.withColumnRenamed("id", "b").withColumnRenamed("bucket", "at").join(side("b"), "b")
+        pairs = other.join(lead, (F.col("at") == F.col("bucket")) & (F.col("comp") != F.col("of")) & screen("fa", "fb", "at")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         rest = active.join(lead.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")

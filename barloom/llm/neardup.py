@@ -10,22 +10,25 @@ all others are confirmed on the full sets.  Documents of equal sets are one node
 At 40 bands of 5 rows a pair at similarity 0.8 is no candidate with probability 1.3e-7, and one whose sketches
 mislead by five standard errors has 3e-7.
 
-Defined results: a text of fewer than K words is one shingle, its whole sequence; null, empty and wordless texts
-have no shingles and are linked with nothing; repeated rows of one id are one document (its least set counts);
-rows with a null id are left out.
+Ids may be of any type with an order.  Defined results: a text of fewer than K words is one shingle, its whole
+sequence; null, empty and wordless texts have no shingles and are linked with nothing; repeated rows of one id are one
+document (its least set by size, then digests, counts); rows with a null id are left out; of equal sets all documents
+share the least id, so there are no ties; texts of any length count whole; an empty table gives an empty one; other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from barloom.llm import kernel
-from barloom.llm.arrow import map_batches
-from barloom.llm.groups import link
+from barloom.llm.arrow import free_name, map_batches
+from barloom.llm.groups import active_of, link
 from barloom.llm.shared import Scratch
 
 BANDS, ROWS = 40, 5
@@ -87,8 +90,7 @@ def signatures(g: np.ndarray, go: np.ndarray) -> dict[str, np.ndarray]:
         bit = (kernel.mix(g[least] ^ np.uint64(0x3C3C3C3C5A5A5A5A)) % np.uint64(SKETCH_BITS)).astype(np.int64)
         odd = np.bincount(row * SKETCH_BITS + bit, minlength=len(full) * SKETCH_BITS).reshape(len(full), SKETCH_BITS) & 1
         sketch = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
-        d1 = np.add.reduceat(kernel.mix(g), start)
-        d2 = np.add.reduceat(kernel.mix(g ^ np.uint64(0x5555AAAA5555AAAA)), start)
+        d1, d2 = digests(g, start)
     return {"full": full, "d1": d1, "d2": d2, "bands": bands.T, "sketch": sketch, "samples": np.bincount(row, minlength=len(full))}
 
 
@@ -121,21 +123,29 @@ def _sign(docs: DataFrame, k: int) -> DataFrame:
         return {"id": batch.column(0)} | longs | {"bands": _lists(np.concatenate(bands), which, n), "sketch": _lists(np.concatenate(sketch), which, n)}
 
     longs = T.ArrayType(T.LongType())
-    fields = [T.StructField("id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n", "samples", "d1", "d2")), T.StructField("bands", longs), T.StructField("sketch", longs)]
+    fields = [docs.schema["id"], *(T.StructField(c, T.LongType()) for c in ("n", "samples", "d1", "d2")), T.StructField("bands", longs), T.StructField("sketch", longs)]
     return map_batches(docs, run, fields)
 
 
+def digests(g: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each non-empty text, two sums over its set."""
+    with np.errstate(over="ignore"):
+        return np.add.reduceat(kernel.mix(g), start), np.add.reduceat(kernel.mix(g ^ np.uint64(0x5555AAAA5555AAAA)), start)
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
-        out, bounds = [], [np.zeros(1, np.int64)]
+        out, bounds, ds = [], [np.zeros(1, np.int64)], np.zeros((2, batch.num_rows), np.uint64)
         for t in kernel.slices(batch.column(1)):
             g, go = shingles(t, k)
             out.append(g.view(np.int64))
             bounds.append(go[1:] + bounds[-1][-1])
+            if len(full := np.flatnonzero(np.diff(go) > 0)):
+                ds[:, t.first + full] = digests(g, go[full])
         values = np.concatenate(out) if out else np.empty(0, np.int64)
-        return {"id": batch.column(0), "items": pa.ListArray.from_arrays(pa.array(np.concatenate(bounds).astype(np.int32)), pa.array(values))}
+        return {"id": batch.column(0), "d1": ds[0].view(np.int64), "d2": ds[1].view(np.int64), "items": pa.ListArray.from_arrays(pa.array(np.concatenate(bounds).astype(np.int32)), pa.array(values))}
 
-    return map_batches(docs, run, [T.StructField("id", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
+    return map_batches(docs, run, [docs.schema["id"], T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
 
 
 def likely(a: str, b: str, percent: int) -> Column:
@@ -176,18 +186,20 @@ def room(n: np.ndarray, samples: np.ndarray, u: np.ndarray, percent: int) -> np.
     return (100 * n.min(0) >= percent * n.max(0)) & ((u <= most) | (most >= bits / 2))
 
 
-def pairs_within(active: DataFrame, look: DataFrame, percent: int, block: int = BLOCK_ROWS) -> DataFrame:
+def pairs_within(active: DataFrame, look: DataFrame, percent: int, scratch: Scratch, block: int = BLOCK_ROWS) -> DataFrame:
     """Likely pairs (a, b) of different groups in each bucket of active (bucket, id, comp); look: (id, n, samples, sketch, bands).
 
     A bucket of more than block members is dealt into blocks, and each two blocks are a piece of work, so that no
     task holds more than two; sketches are compared in numpy, and a pair comes from its first common band alone.
     """
-    blocks = active.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("blocks"))
+    blocks = scratch.put("blocks", active.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("id", F.lit(41)), F.col("blocks")).cast("int")
     dealt = active.join(blocks, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp")
     rows = keyed.join(look, "id").select("bucket", "i", "j", "own", "id", "comp", "n", "samples", "sketch", "bands")
     words = SKETCH_BITS // 64
+    id_type = look.schema["id"].dataType
+    kind = to_arrow_type(id_type)
 
     def compare(key: tuple[int, int, int], own: np.ndarray, x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         bucket, i, j = key
@@ -214,7 +226,7 @@ def pairs_within(active: DataFrame, look: DataFrame, percent: int, block: int =
         return np.minimum(a, b), np.maximum(a, b)
 
     def run(batches):
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        schema = pa.schema([("a", kind), ("b", kind)])
         held: pa.Table | None = None
 
         def flush(t: pa.Table, last: bool):
@@ -223,7 +235,7 @@ def pairs_within(active: DataFrame, look: DataFrame, percent: int, block: int =
             keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
             edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
             stop = len(edges) - 1 if last else len(edges) - 2
-            x = {c: t.column(c).to_numpy() for c in ("id", "comp", "n", "samples", "own")}
+            x = {c: t.column(c).to_numpy() for c in ("id", "comp", "n", "samples", "own")}  # ids of other types than numbers as objects
             for c, width in (("sketch", words), ("bands", BANDS)):
                 x[c] = t.column(c).combine_chunks().flatten().to_numpy().reshape(-1, width)
             left, right = [], []
@@ -233,7 +245,7 @@ def pairs_within(active: DataFrame, look: DataFrame, percent: int, block: int =
                     a, b = compare(tuple(keys[edges[g]].tolist()), x["own"][s], {c: v[s] for c, v in x.items()})
                     left.append(a)
                     right.append(b)
-            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.empty(0, np.int64)) for v in (left, right)], schema=schema)
+            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else [], kind) for v in (left, right)], schema=schema)
             return made, None if last else t.slice(edges[stop])
 
         for batch in batches:
@@ -245,37 +257,55 @@ def pairs_within(active: DataFrame, look: DataFrame, percent: int, block: int =
         if held is not None and held.num_rows:
             yield flush(held, True)[0]
 
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)]))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_shingles, component_id (least id that links reach), kept (it is that id).
 
-    Ids are whole numbers.  Linked: 100 * shared >= percent * all shingles of both.
+    Linked: 100 * shared >= percent * all shingles of both.
     """
-    scratch = Scratch(docs.sparkSession, "neardup")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    return _near_duplicates(docs, Scratch(docs.sparkSession, "neardup"), k, percent, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, scratch: Scratch, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null")
     signed = scratch.put("signed", _sign(docs, k))
-    single = signed.groupBy("id").agg(F.min(F.struct("n", "d1", "d2")).alias("s")).select("id", "s.n", "s.d1", "s.d2")
-    reps = scratch.put("reps", signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.any_value("samples").alias("samples"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
+    facts = ["n", "d1", "d2", "samples", "bands", "sketch"]
+    single = signed.groupBy("id").agg(F.min(F.struct(*facts)).alias("s")).select("id", *(f"s.{c}" for c in facts))
+    single = scratch.put("single", single) if signed.groupBy("id").count().where("count > 1").limit(1).count() else signed
+    reps = scratch.put("reps", single.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), *(F.any_value(c).alias(c) for c in ("samples", "bands", "sketch"))))
     members = reps.select("id", F.explode("bands").alias("bucket"))
     look = reps.select("id", F.struct("n", "samples", "sketch").alias("facts"))
 
     def verify(pairs: DataFrame, step: int) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        full = scratch.put(f"sets-{step}", _sets(docs.join(ids, "id", "left_semi"), k).groupBy("id").agg(F.min_by("items", F.size("items")).alias("items")))
+        full = scratch.put(f"sets-{step}", _sets(docs.join(ids, "id", "left_semi"), k).groupBy("id").agg(F.min(F.struct(F.size("items").alias("n"), "d1", "d2", "items")).alias("s")).select("id", "s.items"))
         a, b = (full.select(F.col("id").alias(x), F.col("items").alias(f"x{x}")) for x in "ab")
         both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("xa", "xb")))
         return both.where(100 * F.col("shared") >= percent * (F.size("xa") + F.size("xb") - F.col("shared")))
 
-    facts = reps.select("id", "n", "samples", "sketch", "bands")
-    groups = link(members, look, lambda a, b: likely(a, b, percent), verify, scratch, lambda active: pairs_within(active, facts, percent))
+    all_ = reps.select("id", "n", "samples", "sketch", "bands")
+    groups = link(active_of(members, scratch), look, lambda a, b: likely(a, b, percent), verify, scratch, lambda active: pairs_within(active, all_, percent, scratch))
     nodes = reps.select("n", "d1", "d2", F.col("id").alias("rep")).join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("comp"))
-    out = single.join(nodes, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("comp", "id").alias("component_id"))
+    nodes = scratch.put("of", nodes)
+    out = single.select("id", "n", "d1", "d2").join(nodes, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("comp", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay when one document of each group does; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay when one document of each group does; of several rows of its id one whose text is
+    least stays.  Rows with a null id stay."""
+    scratch = Scratch(docs.sparkSession, "neardup")
+    key = free_name(docs, "gone_id")
+    judged = scratch.put("judged", _near_duplicates(docs, scratch, k, percent, id_col, text_col).select(F.col(id_col).alias(key), "kept"))
+    scratch.drop_but("judged")
+    own = F.col(f"`{id_col}`")
+    out = docs.join(judged.where("not kept").select(key), own == F.col(key), "left_anti")
+    twice = scratch.put("twice", docs.where(own.isNotNull()).groupBy(own.alias(key)).count().where("count > 1").select(key))
+    if not twice.limit(1).count():
+        return out
+    place = free_name(docs, "place")
+    order = Window.partitionBy(own).orderBy(F.col(f"`{text_col}`").asc_nulls_first(), *(F.col(f"`{f.name}`").cast("string") for f in docs.schema.fields if f.name != text_col))
+    first = out.join(twice, own == F.col(key), "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    return out.join(twice, own == F.col(key), "left_anti").unionByName(first)

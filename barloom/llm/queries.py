@@ -25,17 +25,27 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(table(spark, sf_dir, "documents"), pii.fit(pii.labelled_rows()))
-    return found.select("doc_id", *pii.COUNTS, F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", *pii.COUNTS, F.sha2("base", 256).alias("base_sha256"), "spans", "n_spans")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as one batch of inserts into a fresh rollup; the batch sent again counts once."""
+    """All documents inserted; those with white space at an end revised to the count without it; and of equal texts all
+    but the least id deleted.  Each batch is sent twice and counts once."""
+    docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "tokens")
-    counted = scratch.put("counts", tokens.with_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang"]))
-    changes = counted.withColumns({"op": F.lit("insert"), "tokenizer": F.lit("byte_bpe_50k")})
+    tokenizer = {"tokenizer": F.lit("byte_bpe_50k")}
+    keyed = docs.withColumns({"digest": F.sha2("text", 256), "bare": F.regexp_replace("text", r"^\s+|\s+$", "")})
+    loose = keyed.where("bare <> text").select("doc_id", "source", "lang", F.col("bare").alias("text"))
+    counted = scratch.put("counts", tokens.with_tokens(keyed, ["doc_id", "source", "lang", "digest"]))
+    first = scratch.put("first", counted.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    batches = {
+        "documents": counted.withColumns({"op": F.lit("insert")} | tokenizer),
+        "trimmed": scratch.put("trimmed", tokens.with_tokens(loose, ["doc_id", "source", "lang"])).withColumns({"op": F.lit("revise")} | tokenizer),
+        "repeats": counted.join(first, "digest").where("doc_id <> first").withColumns({"op": F.lit("delete")} | tokenizer),
+    }
     rollup = TokenRollup(spark, f"{scratch.path}/rollup")
-    for _ in range(2):
-        rollup.commit("documents", changes)
+    for name in [*batches, *batches]:
+        rollup.commit(name, batches[name])
     return rollup.totals()
 
 
@@ -55,7 +65,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return rules.judge(docs, rules.train(docs, table(spark, sf_dir, "labels"))).drop("score")
+    return rules.judge(docs, rules.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,91 +2,78 @@
 
 A batch of changes becomes signed facts: an insert adds a document's count, a delete takes back all that the
 document has in the ledger, a revision does both.  The facts' totals by key are the batch's delta.  Both are written
-to a folder of their own, and the batch counts from the moment its log entry is created, which succeeds once per
-batch id: a batch that is sent again changes nothing, and a half-written one is never read.
+to a folder of their own, and the batch counts from the moment its log entry appears.  Log entries are numbered; an
+entry is written beside the log and renamed to the next free number, which fails if another batch took it, so entries
+are whole, batches are one after the other, and one that lost the race is worked out again on the new ledger.  A batch
+id that the log has already changes nothing, and a half-written batch is never read.
+
+The ledger is stored in BUCKETS parts by a hash of doc_id; a batch reads only the parts that its documents fall in.
 
 Defined results: null source, lang or tokenizer are keys like others; a null count is 0; a delete of an unknown
-document takes nothing; several inserts of one document all count; in one batch taking back comes before adding.
+document takes nothing; several inserts of one document all count (repeated rows too); in one batch taking back comes
+before adding; an empty batch is logged and changes nothing; a null doc_id is a document like others; other columns
+of the changes are not looked at; other operations than the three are an error.  Texts are not part of it, so their
+length doesn't matter.
 """
 
 from __future__ import annotations
 
-import json
-import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.sources.log import Log
+
 KEYS = ["source", "lang", "tokenizer"]
-FACTS = "doc_id long, source string, lang string, tokenizer string, n_tokens long, sign long"
+FACTS = "doc_id long, source string, lang string, tokenizer string, n_tokens long, sign long, bucket int"
+BUCKETS = 32
 
 
 class TokenRollup:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.log = Log(spark, self.path)
 
     def batches(self) -> dict[str, str]:
-        """Committed batch ids and their folders."""
-        log = self._path(f"{self.path}/log")
-        if not self._fs.exists(log):
-            return {}
-        out = {}
-        for status in self._fs.listStatus(log):
-            stream = self._fs.open(status.getPath())
-            try:
-                raw = bytes(stream.readAllBytes()).decode()
-            finally:
-                stream.close()
-            entry = json.loads(raw)
-            out[entry["batch"]] = entry["folder"]
-        return out
+        """Committed batch ids and their folders, in the order of the log."""
+        return {e["batch"]: e["folder"] for e in self.log.entries()}
 
     def _read(self, kind: str, schema: str) -> DataFrame:
         folders = [f"{self.path}/data/{f}/{kind}" for f in self.batches().values()]
         if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*folders)
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f) for f in folders])
 
     def ledger(self) -> DataFrame:
         return self._read("facts", FACTS)
 
+    def _facts(self, changes: DataFrame) -> DataFrame:
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
+        added = changes.where(F.col("op").isin("insert", "revise")).select("doc_id", *KEYS, "n_tokens", F.lit(1).cast("long").alias("sign"))
+        if not self.batches():
+            return added.withColumn("bucket", bucket)
+        taken = changes.where(F.col("op").isin("delete", "revise")).select(F.col("doc_id").alias("of"), F.col("tokenizer").alias("version"), bucket.alias("b")).distinct()
+        parts = [r.b for r in taken.select("b").distinct().collect()]  # at most BUCKETS
+        held = self.ledger().where(F.col("bucket").isin(parts)).join(taken, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("tokenizer").eqNullSafe(F.col("version")), "left_semi")
+        back = held.groupBy("doc_id", *KEYS, "n_tokens").agg((-F.sum("sign")).alias("sign")).where("sign <> 0")
+        return added.unionByName(back.select(*added.columns)).withColumn("bucket", bucket)
+
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """changes: doc_id, op (insert, delete or revise), source, lang, tokenizer, n_tokens.  False: the batch was there."""
-        if batch_id in self.batches():
-            return False
-        folder = uuid.uuid4().hex
-        at = f"{self.path}/data/{folder}"
-        changes = changes.select("doc_id", "op", *KEYS, F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
-        added = changes.where(F.col("op").isin("insert", "revise")).select("doc_id", *KEYS, "n_tokens", F.lit(1).cast("long").alias("sign"))
-        facts = added
-        if self.batches():
-            taken = changes.where(F.col("op").isin("delete", "revise")).select(F.col("doc_id").alias("of"), F.col("tokenizer").alias("version")).distinct()
-            held = self.ledger().join(taken, (F.col("doc_id") == F.col("of")) & F.col("tokenizer").eqNullSafe(F.col("version")), "left_semi")
-            back = held.groupBy("doc_id", *KEYS, "n_tokens").agg((-F.sum("sign")).alias("sign")).where("sign <> 0")
-            facts = added.unionByName(back.select(*added.columns))
-        facts.write.parquet(f"{at}/facts")
-        totals = self.spark.read.parquet(f"{at}/facts").groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
-        totals.write.parquet(f"{at}/delta")
-        return self._log(batch_id, folder)
-
-    def _log(self, batch_id: str, folder: str) -> bool:
-        name = re.sub(r"[^A-Za-z0-9._-]", lambda m: f"%{ord(m[0]):X}", batch_id)
-        try:
-            out = self._fs.create(self._path(f"{self.path}/log/{name}"), False)
-        except Exception:
-            if batch_id not in self.batches():
-                raise
-            self._fs.delete(self._path(f"{self.path}/data/{folder}"), True)
-            return False
-        try:
-            out.write(bytearray(json.dumps({"batch": batch_id, "folder": folder}).encode()))
-        finally:
-            out.close()
-        return True
+        op = F.when(F.col("op").isin("insert", "delete", "revise"), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("no such operation: "), F.coalesce("op", F.lit("null")))))
+        changes = changes.select(F.col("doc_id").cast("long").alias("doc_id"), op.alias("op"), *KEYS, F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+        while batch_id not in (before := self.batches()):
+            folder = uuid.uuid4().hex
+            at = f"{self.path}/data/{folder}"
+            self._facts(changes).repartition("bucket").write.partitionBy("bucket").parquet(f"{at}/facts")
+            totals = self.spark.read.schema(FACTS).parquet(f"{at}/facts").groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
+            totals.write.parquet(f"{at}/delta")
+            if self.log.append(len(before), {"batch": batch_id, "folder": folder}):
+                return True
+            self.log.delete(f"data/{folder}")
+        return False
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens; keys whose documents are all gone have no row."""

@@ -17,8 +17,10 @@ Records of equal payloads of at least REVISIT_BYTES: the largest page id is the
 of it, without payload; a revisit's HTTP header keeps the payload's length.
 
 Defined results: a null html is an empty payload; a null or odd url is kept (control characters and spaces
-percent-encoded) and has a key; repeated rows make a record each; null page ids are an error, for a record needs
-an identity.
+percent-encoded) and has a key; repeated rows make a record each; a page without an id is archived and read back
+with a null id, and is a revisit if a page with an id has its payload; a payload may have any length (one record is in
+memory at a time); equal payloads have one largest id, so there are no ties; an empty table gives an empty archive;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -79,7 +81,7 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
     clean = lambda u: re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", u or "")
     name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{i}')}>"
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {clean(url)}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", f"X-Page-Id: {page_id}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(uuid.uuid4() if page_id is None else page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {clean(url)}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", *([] if page_id is None else [f"X-Page-Id: {page_id}"])]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}", f"WARC-Refers-To-Target-URI: {clean(refers_url)}", f"X-Refers-To-Page-Id: {refers_to}"]
     else:
@@ -101,9 +103,9 @@ def parse(raw: bytes) -> dict:
     digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
     kind = fields["WARC-Type"]
     if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
-        raise ValueError(f"payload of page {fields['X-Page-Id']} doesn't match its digest")
-    refers = fields.get("X-Refers-To-Page-Id")
-    return {"page_id": int(fields["X-Page-Id"]), "url": fields["WARC-Target-URI"], "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": int(refers) if refers else None, "payload": payload if kind == "response" else None}
+        raise ValueError(f"payload of page {fields.get('X-Page-Id')} doesn't match its digest")
+    page, refers = fields.get("X-Page-Id"), fields.get("X-Refers-To-Page-Id")
+    return {"page_id": int(page) if page else None, "url": fields["WARC-Target-URI"], "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": int(refers) if refers else None, "payload": payload if kind == "response" else None}
 
 
 MANIFEST = T.StructType([T.StructField("key", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])
@@ -116,9 +118,11 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = rows.where(F.octet_length("payload") >= REVISIT_BYTES)
+    scratch = Scratch(pages.sparkSession, "warc-equal")
     twice = large.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("last"), F.max_by("url", "page_id").alias("last_url")).where("n > 1").drop("n")
-    few = twice.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(twice) if few else twice, "digest", "left").withColumn("other", F.col("last").isNotNull() & (F.col("last") != F.col("page_id")))
+    twice = scratch.put("twice", twice)
+    few = twice.count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(twice) if few else twice, "digest", "left").withColumn("other", F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id")))
     rows = rows.select("page_id", "url", "payload", "digest", F.when(F.col("other"), F.col("last")).alias("last"), F.when(F.col("other"), F.col("last_url")).alias("last_url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +132,6 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
             for batch in batches:
                 made = {f.name: [] for f in MANIFEST}
                 for page, url, payload, digest, last, last_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if page is None:
-                        raise ValueError("a page without an id can't be archived")
                     if out is None or at >= file_bytes:
                         if out is not None:
                             out.close()
@@ -153,7 +155,8 @@ class CaptureIndex:
     """The list of shards: (first key, first page id, file), sorted; everything else stays in the shared folder."""
 
     def __init__(self, spark: SparkSession, folder: str, shards: list[tuple[str, int, str]]):
-        self.spark, self.folder, self.shards = spark, folder, sorted(shards)
+        self.spark, self.folder = spark, folder
+        self.shards = sorted(shards, key=lambda s: (s[0], s[1] is not None, s[1] or 0, s[2]))
 
     @staticmethod
     def build(manifest: DataFrame, folder: str, block_lines: int = BLOCK_LINES, shard_rows: int = SHARD_ROWS) -> CaptureIndex:

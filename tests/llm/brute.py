@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import re
 
@@ -84,17 +85,6 @@ def contamination(text: str | None, items: dict, window: int = 13) -> dict:
     return {"n_words": len(w), "n_hit": len(hit), "n_items": len(ids), "items_sha256": hashlib.sha256(joined.encode()).hexdigest(), "contaminated": bool(hit) and 20 * len(hit) >= len(w)}
 
 
-def simhash(words: list[str]) -> int:
-    import xxhash
-
-    n = [0] * 64
-    for w in words:
-        h = xxhash.xxh64_intdigest(w.encode(), 42)
-        for i in range(64):
-            n[i] += h >> i & 1
-    return sum(1 << i for i in range(64) if n[i] > len(words) // 2)
-
-
 def edit_distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -104,26 +94,28 @@ def edit_distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def removed_lines(docs: dict, min_words: int = 5, distance: int = 2, similarity: float = 0.9) -> dict:
-    """{id: text} -> {id: numbers of the lines that go}."""
-    cut = re.compile(r"[\s!-/:-@\[-`{-~]+")
+def removed_lines(docs: dict, min_words: int = 5, similarity: float = 0.9) -> dict:
+    """{id: text} -> {id: numbers of the lines that go}: all pairs of lines are compared by edit distance alone."""
+    cut = re.compile(r"[ \t\n\x0b\x0c\r!-/:-@\[-`{-~]+")
     first, places = {}, {}
     for i in sorted(docs):
         for k, line in enumerate((docs[i] or "").split("\n")):
-            w = [x for x in cut.split(line.lower()) if x]
-            if len(w) >= min_words:
-                first.setdefault(tuple(w), (i, k))
-                places.setdefault(tuple(w), []).append((i, k))
+            if not line.strip(" \t\n\x0b\x0c\r"):
+                continue
+            w = tuple(x for x in cut.split(line.lower()) if x) or ("", line.strip(" "))
+            first.setdefault(w, (i, k))
+            places.setdefault(w, []).append((i, k))
     keys = list(first)
-    sims = [simhash(list(w)) for w in keys]
-    texts = [" ".join(w) for w in keys]
+    texts = [" ".join(w) if len(w) >= min_words else None for w in keys]
+    order = sorted((x for x in range(len(keys)) if texts[x]), key=lambda x: len(texts[x]))
     edges = []
-    for x in range(len(keys)):
-        for y in range(x):
-            if (sims[x] ^ sims[y]).bit_count() <= distance:
-                most = int((1 - similarity) * max(len(texts[x]), len(texts[y])))
-                if abs(len(texts[x]) - len(texts[y])) <= most and edit_distance(texts[x], texts[y]) <= most:
-                    edges.append((x, y))
+    for at, x in enumerate(order):  # the longer of a pair decides what is allowed
+        for y in reversed(order[:at]):
+            most = int((1 - similarity) * len(texts[x]) + 1e-9)
+            if len(texts[x]) - len(texts[y]) > most:
+                break
+            if near(texts[x], texts[y], most):
+                edges.append((x, y))
     comp = components(range(len(keys)), edges)
     keeper: dict = {}
     for x, c in comp.items():
@@ -136,6 +128,18 @@ def removed_lines(docs: dict, min_words: int = 5, distance: int = 2, similarity:
     return {i: sorted(v) for i, v in out.items()}
 
 
+def near(a: str, b: str, most: int) -> bool:
+    """Whether edit distance is at most so much.  Each edit changes two counts of letters by one at most."""
+    x, y = collections.Counter(a), collections.Counter(b)
+    if sum(((x - y) | (y - x)).values()) > 2 * most:
+        return False
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    return edit_distance(a, b) <= most
+
+
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     """The four patterns exactly as the contract writes them."""
     text = text or ""

@@ -1,13 +1,17 @@
 """Text operators against their plain versions, on real rows and on awkward ones."""
 
+import functools
+import hashlib
+import itertools
 import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from duck import compare, connect
 
-from barloom.llm import decontaminate, licenses, linededup, neardup, packing, pii, quality, queries, rules, tokens
+from barloom.llm import decontaminate, kernel, licenses, linededup, neardup, packing, pii, quality, queries, rules, tokens
 from barloom.llm.groups import components
 from barloom.llm.shared import Scratch
 
@@ -151,20 +155,50 @@ def test_pii(spark, odd, docs):
     for t in [*TEXTS, *(r.text for r in docs.collect())]:
         assert pii.base_spans(t or "") == brute.base_spans(t)
     held = pii.labelled_rows(200, seed=77)
-    found = pii.added_spans(crf, [t for t, _ in held])
+    found = [x for t in kernel.slices(pa.array([t for t, _ in held])) for x in pii.added_spans(crf, t)]
     assert np.mean([set(a) == set(b) for (_, a), b in zip(held, found, strict=True)]) > 0.95
     for r in pii.scan(odd, crf).collect():
-        base, spans = r.base.split(","), r.spans.split(",")
-        assert set(base) - {""} <= set(spans)
+        base, spans = brute.base_spans(TEXTS[r.doc_id]), r.spans.split(",") if r.spans else []
+        assert r.base == ",".join(f"{k}:{a}:{b}" for k, a, b in base) and set(r.base.split(",")) - {""} <= set(spans) and r.n_spans == len(spans)
+        assert [r[c] for c in pii.COUNTS] == [sum(k == kind for k, _, _ in base) for kind in pii.BASE]
+    assert pii.scan(odd.limit(0), crf).count() == 0
+
+
+def test_pii_query(spark, docs):
+    """The contract's columns of all rows, and what the field adds: spans on base ones or beside them, never over them."""
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = queries.QUERIES["op3_pii"](spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = brute.base_spans(texts[r.doc_id])
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and [r[c] for c in pii.COUNTS] == [sum(k == kind for k, _, _ in base) for kind in pii.BASE]
+        added = [s.split(":") for s in r.spans.split(",") if s and s not in joined.split(",")]
+        assert all(int(b) <= x or y <= int(a) for _, a, b in added for _, x, y in base)
+
+
+@pytest.mark.parametrize(("text", "kind", "span"), [("my password = correcthorsebatterystaple ok", "secret", "correcthorsebatterystaple"), ("use AKIAIOSFODNNEXAMPLE now", "secret", "AKIAIOSFODNNEXAMPLE"), ("mail jane at example dot com please", "email", "jane at example dot com"), ("Éa token=" + "0af9" * 10, "secret", "0af9" * 10)])
+def test_pii_without_digits(text, kind, span):
+    (_, spans), = pii.spans_of(_field(), [text])
+    assert (kind, text.index(span), text.index(span) + len(span)) in spans
+
+
+@functools.cache
+def _field():
+    return pii.fit(pii.labelled_rows())
 
 
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(3)
-    crf = pii.Crf(rng.normal(0, 1, (8, 3)), rng.normal(0, 1, (3, 3)), ["O", "a", "b"])
-    run = [[1, 2], [3, 4], [5, 6]]
-    u = crf.w[np.array(run)].sum(1)
-    best = max(((i, j, k) for i in range(3) for j in range(3) for k in range(3)), key=lambda p: u[0, p[0]] + u[1, p[1]] + u[2, p[2]] + crf.a[0, p[0]] + crf.a[p[0], p[1]] + crf.a[p[1], p[2]] + crf.a[p[2], 0])
-    assert tuple(crf.decode([run])[0]) == best
+    for bias in (0.0, 2.0):  # with a bias to O, chains fall apart
+        u, a = rng.normal(0, 1, (14, 3)), rng.normal(0, 1, (3, 3))
+        u[:, 0] += bias
+        crf, wo = pii.Crf(np.empty(0, np.uint64), np.zeros((1, 3)), a, ["O", "a", "b"]), np.array([0, 5, 5, 6, 14])
+        want = []
+        for lo, hi in zip(wo[:-1], wo[1:], strict=True):
+            paths = itertools.product(range(3), repeat=hi - lo)
+            want += max(paths, key=lambda p, lo=lo: sum(u[lo + i, y] for i, y in enumerate(p)) + sum(a[x, y] for x, y in zip((0, *p), (*p, 0), strict=True))) if hi > lo else ()
+        assert crf.decode(u, wo).tolist() == want
 
 
 def test_licenses(spark):
