@@ -37,8 +37,12 @@ _plan, _out = _flagship(DUCK)
 @query("flagship_rankic", f"WITH panel AS ({_plan.sql(bars.numbered_sql(bars.BRAND_SQL), _out)}) {rank_ic_text('panel')}")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly rank correlation of ranked, standardised five-week returns with the next five weeks'."""
+    return flagship_of(bars.bars_brand(spark, sf_dir))
+
+
+def flagship_of(frame: DataFrame) -> DataFrame:
     p, out = _flagship(SPARK)
-    return spark.sql(rank_ic_text("{panel}"), panel=p.spark(bars.numbered(bars.bars_brand(spark, sf_dir)), out))
+    return frame.sparkSession.sql(rank_ic_text("{panel}"), panel=p.spark(bars.numbered(frame), out))
 
 
 rank_ic = sql_op("eval_rank_ic")(lambda k: f"WITH {PANEL} {rank_ic_text('v')}")
