@@ -6,6 +6,9 @@ import collections
 import hashlib
 import re
 
+import duckdb
+
+_SQL = duckdb.connect()
 SPACE_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -137,7 +140,15 @@ def near(a: str, b: str, most: int) -> bool:
         a, b = a[1:], b[1:]
     while a and b and a[-1] == b[-1]:
         a, b = a[:-1], b[:-1]
-    return edit_distance(a, b) <= most
+    if abs(len(a) - len(b)) > most:
+        return False
+    if max(len(a), len(b)) <= most:
+        return True
+    letters = sorted(set(a) | set(b))
+    if len(letters) > 90:
+        return edit_distance(a, b) <= most
+    names = str.maketrans({c: chr(35 + i) for i, c in enumerate(letters)})  # DuckDB counts bytes
+    return _SQL.execute("SELECT levenshtein(?, ?)", [a.translate(names), b.translate(names)]).fetchone()[0] <= most
 
 
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
