@@ -8,7 +8,8 @@ fewer than WINDOW words is one window, and is looked up whole by a fingerprint o
 
 Defined results: null or wordless texts have no words and are clean; a null item id marks hits but is not
 named; repeated rows are judged each for itself; item ids that occur twice count once; an empty benchmark
-leaves all documents clean.
+leaves all documents clean; overlapping hits count each word once, so ties don't matter; texts of any length count
+whole; an empty table gives an empty one; columns of docs keep their names and values.
 """
 
 from __future__ import annotations

@@ -6,11 +6,12 @@ sentences are found as one or more whole lines or parts of lines, so wrapped tex
 single line needs no stop.  They have identifiers; the others are passed over.
 A licence is found where its identifiers occur in order, with any others between.
 
-All is one projection of each row, so nothing is shuffled.  Texts without any of ANCHORS, one of which each known
-sentence contains, are not cut at all.
+All is one projection of each row, so nothing is shuffled.  Texts without any of ANCHORS, one of which each of the
+fixed sentences contains, are not cut at all; a caller's own sentences need no anchor.
 
 Defined results: null and empty texts have no sentence and no licence; licences are named once and in alphabetical
-order; repeated rows are judged each.
+order, so there are no ties; repeated rows are judged each; texts of any length count whole; an empty table gives an
+empty one; other columns are not looked at; ids may be of any type.
 """
 
 from __future__ import annotations
@@ -102,11 +103,14 @@ def sentence_pattern(sentences: list[str]) -> str:
 
 def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    sentences = sentences or SENTENCES
+    gate = text.rlike(anchor_pattern()) if sentences is None else F.lit(True)  # the fixed sentences all hold an anchor
+    sentences = SENTENCES if sentences is None else sentences
+    if not sentences:
+        return F.array().cast("array<string>")
     known = F.create_map(*[F.lit(x) for i, s in sentences.items() for x in (s, i)])
     met = F.regexp_extract_all(marked(text), F.lit(sentence_pattern(list(sentences.values()))), F.lit(0))
     found = F.transform(met, lambda s: F.try_element_at(known, F.translate(s, "S", " ")))
-    return F.when(text.rlike(anchor_pattern()), found).otherwise(F.array().cast("array<string>"))
+    return F.when(gate, found).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:

@@ -6,7 +6,9 @@ least padding.  Pieces get consecutive places in their bucket, and places form b
 budget holds.  Places are numbered in parts of bounded size: within a part by row number, and before it by the sum
 of the earlier parts' counts, so a bucket may hold any share of the rows.
 
-Defined results: texts without tokens have no piece; repeated rows are packed each; an empty input gives no rows.
+Defined results: texts without tokens have no piece; repeated rows are packed each (which of them comes first is open,
+as they are the same); a null id is packed like others; texts of any length are cut into pieces; an empty input gives
+no rows; other columns are not looked at.
 """
 
 from __future__ import annotations

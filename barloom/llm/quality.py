@@ -6,7 +6,9 @@ carries that document's label.  Forward-backward gives each line's probability o
 score is their mean, weighted by line length in code points.
 
 Defined results: null texts count as empty; an empty text is one empty line and gets that line's probability;
-without labelled rows of both classes all scores are the labelled share (1 if there are no labels).
+without labelled rows of both classes all scores are the labelled share (1 if there are no labels); a score equal to
+the threshold is good; repeated rows are judged each; texts of any length count whole; a null id has a null held_out;
+an empty table gives an empty one; columns of docs keep their names and values.
 """
 
 from __future__ import annotations

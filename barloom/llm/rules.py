@@ -7,7 +7,8 @@ it is applied in Arrow batches against a fixed threshold.
 
 Defined results: null texts count as empty; empty and wordless texts have zero counts and fail the base rules;
 without labelled rows of both classes the model's verdict is the labelled share (1 if there is none), so that
-only the base rules decide.
+only the base rules decide; a score equal to the threshold keeps; repeated rows are judged each; texts of any length
+count whole; an empty table gives an empty one; other columns are not looked at; ids may be of any type or null.
 """
 
 from __future__ import annotations
