@@ -142,5 +142,30 @@ def risk_model(panel: DataFrame, styles: list[str], least: int = 10) -> tuple[Da
         return pd.DataFrame([{"ts": g["ts"].iloc[0]} | dict(zip(styles, b[1:], strict=True))])
 
     returns = panel.select("ts", "symbol", "ret", *styles).groupBy("ts").applyInPandas(plain(run), "ts long, " + ", ".join(f"{s} double" for s in styles))
-    known = returns.orderBy(F.desc("ts")).limit(1000).toPandas()[styles].to_numpy(float)
+    known = returns.toPandas()[styles].to_numpy(float)  # all times: as many rows as the panel has times
     return returns, ledoit_wolf(known)[0] if len(known) > 1 else np.eye(len(styles)), styles
+
+
+def decompose_risk(panel: DataFrame, styles: list[str], least: int = 10) -> DataFrame:
+    """Variance of the portfolio w per ts: exposures to styles under their covariance, the rest by each symbol's own
+    residual variance, and the styles' share.
+
+    panel: ts, symbol, ret, w and styles.  Only the covariance of the styles is on the driver.
+    """
+    cov = risk_model(panel, styles, least)[1]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.dropna(subset=["ret", *styles])
+        if len(g) < least:
+            return pd.DataFrame({"symbol": [], "e": []})
+        x = np.column_stack([np.ones(len(g)), g[styles].to_numpy(float)])
+        y = g["ret"].to_numpy(float)
+        return pd.DataFrame({"symbol": g["symbol"], "e": y - x @ np.linalg.lstsq(x, y, rcond=None)[0]})
+
+    rest = panel.select("ts", "symbol", "ret", *styles).groupBy("ts").applyInPandas(plain(run), "symbol string, e double")
+    own = rest.groupBy("symbol").agg(F.var_pop("e").alias("own"))
+    held = panel.where("w <> 0").join(own, "symbol", "left")
+    at = held.groupBy("ts").agg(*[F.sum(F.col("w") * F.coalesce(s, F.lit(0.0))).alias(s) for s in styles], F.sum(F.col("w") * F.col("w") * F.coalesce("own", F.lit(0.0))).alias("specific"))
+    common = sum((F.lit(float(cov[i, j])) * F.col(a) * F.col(b) for i, a in enumerate(styles) for j, b in enumerate(styles)), F.lit(0.0))
+    at = at.withColumn("common", common)
+    return at.select("ts", *styles, "common", "specific", (F.col("common") / F.nullif(F.col("common") + F.col("specific"), F.lit(0.0))).alias("share"))

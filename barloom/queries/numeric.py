@@ -57,6 +57,13 @@ def risk_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimize.risk_model(supplier_panel(spark, sf_dir), STYLES)[0]
 
 
+@query("num_risk_decomposition")
+def risk_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the five suppliers with the best score at each time."""
+    n = F.expr("row_number() over (partition by ts order by score desc, symbol)")
+    return optimize.decompose_risk(supplier_panel(spark, sf_dir).where("score is not null").withColumn("w", F.when(n <= 5, 0.2).otherwise(0.0)), STYLES)
+
+
 for _method in ("markowitz", "risk_parity"):
     query(f"num_optimize_{_method}")(lambda spark, sf_dir, m=_method: optimize.optimize_panel(supplier_panel(spark, sf_dir), m))
 
