@@ -9,8 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+
 from barloom.operators.language_a import corr, cov, ema, fmax, fmin, var
-from barloom.plans.staged import Plan
+from barloom.plans.staged import SPARK, Plan
+from barloom.sources.bars import numbered
 
 EPS = "1e-9"
 NORM_WINDOW = 200
@@ -416,3 +419,18 @@ def _(p: Plan) -> str:
     r, n = logret(p, 20), p.let("count(*) over (partition by ts)")
     z = p.let(f"case when {n} > 1 then ({r} - avg({r}) over (partition by ts)) / (stddev_samp({r}) over (partition by ts) + {EPS}) else {r} end")
     return norm(p, z)
+
+
+def table(frame: DataFrame, names: list[str] | None = None, chunk: int = 8) -> DataFrame:
+    """symbol, ts and a column for each named feature (all 65 by default), of bars.
+
+    Features are worked out `chunk` at a time and joined: rows of hundreds of window columns are slower than the joins.
+    The bars are read once for each chunk, so they had better be a written table.
+    """
+    names = list(FEATURES) if names is None else names
+    bars, out = numbered(frame), None
+    for i in range(0, len(names), chunk):
+        p = Plan(SPARK)
+        made = p.spark(bars, {n: p.let(FEATURES[n].build(p)) for n in names[i : i + chunk]})
+        out = made if out is None else out.join(made, ["symbol", "ts"])
+    return out

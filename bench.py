@@ -34,13 +34,6 @@ def all_operators(b):
     return p.spark(bars.numbered(b), out)
 
 
-def feature_table(b):
-    """The 65 features in one plan."""
-    p = Plan(SPARK)
-    out = {n: p.let(f.build(p)) for n, f in features.FEATURES.items()}
-    return p.spark(bars.numbered(b), out)
-
-
 def rolling_mean(b):
     p = Plan(SPARK)
     return p.spark(bars.numbered(b), {"value": reducers.evaluate(p, formula_b.decode([11, 0, 2, 10, 0, 0, 0, 0, 0, 5]), post=False)})
@@ -59,7 +52,7 @@ def main() -> None:
     todo |= {
         "flagship_rankic": lambda: evaluate.flagship_of(brand),
         "all_operators_supp": lambda: all_operators(supp),
-        "feature_table_brand": lambda: feature_table(brand),
+        "feature_table_brand": lambda: features.table(brand),
         "hf_all": lambda: intraday.daily(hour),
         "pvm_Mean": lambda: rolling_mean(brand),
         "dq_jumps": lambda: quality.classify_jumps(supp.withColumn("seq", F.lit(0.0))),

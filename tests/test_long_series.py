@@ -77,3 +77,12 @@ def test_rolling_scores():
         med = win[w // 2 - 1]
         mad = np.sort(np.abs(win - med))[w // 2 - 1] + 1e-6
         assert abs(got[t] - np.clip((x[t] - med) / mad, -5, 5)) < 1e-12
+
+
+def test_feature_table_in_chunks(spark, bars):
+    names = ["RET", "ATR", "MACD_HIST", "RSI14", "CS_RANK_RET5"]
+    frame = pd.concat([bars.iloc[:300], bars.iloc[300:600].assign(symbol="b", ts=bars["ts"].iloc[:300].to_numpy())])
+    got = features.table(spark.createDataFrame(frame), names, 2).toPandas().sort_values(["symbol", "ts"])
+    want = run(spark, frame, lambda p: {n: features.FEATURES[n].build(p) for n in names}).sort_values(["symbol", "ts"])
+    assert got.columns.tolist() == want.columns.tolist() and len(got) == 600
+    np.testing.assert_allclose(got[names], want[names], rtol=1e-9, atol=1e-12)
