@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, licenses, linededup, neardup, packing, pii, quality, rules, tokens, warc
+from barloom.llm import decontaminate, licenses, linededup, neardup, packing, patterns, pii, quality, rules, tokens, warc
 from barloom.llm.shared import Scratch
 from barloom.llm.tokenrollup import TokenRollup
 from barloom.session import table
@@ -79,6 +79,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.pack(table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
@@ -130,6 +134,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
+    "op11_pattern_packing": op11_pattern_packing,
 }
 
 ORACLES = {"op1_warc": OP1_SQL, "op2_licenses": OP2_SQL, "op7_decontaminate": OP7_SQL}
