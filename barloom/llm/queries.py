@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, licenses, linededup, neardup, packing, patterns, pii, quality, rules, tokens, warc
+from barloom.llm import decontaminate, laesa, licenses, linededup, neardup, packing, patterns, pii, quality, rules, tokens, warc
 from barloom.llm.shared import Scratch
 from barloom.llm.tokenrollup import TokenRollup
 from barloom.session import table
@@ -83,6 +83,10 @@ def op11_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_laesa_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laesa.product_codes(table(spark, sf_dir, "embeddings")).drop("evaluated")
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
@@ -123,6 +127,28 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+def _op12_sql() -> str:
+    width, sections = "(SELECT len(any_value(x)) // 16 FROM k)", []
+    near = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for i in range(3):
+        sections.append(f"a{i} AS (SELECT vec_id, p.part, min({{'d': CAST({near} AS BIGINT), 'e': entry}}) AS m FROM p JOIN e{i} ON e{i}.part = p.part GROUP BY vec_id, p.part)")
+        if i < 2:
+            sections.append(
+                f"s{i} AS (SELECT part, e, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT p.part, m.e AS e, v, unnest(range(1, len(v) + 1)) AS i FROM p JOIN a{i} USING (vec_id, part)) GROUP BY part, e, i), "
+                f"e{i + 1} AS (SELECT o.part, o.entry, coalesce(w.v, o.c) AS c FROM e{i} o LEFT JOIN (SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{i} GROUP BY part, e) w ON w.part = o.part AND w.e = o.entry)"
+            )
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+p AS (SELECT vec_id, t.part, x[t.part * {width} + 1:(t.part + 1) * {width}] AS v FROM k, range(16) t(part)),
+e0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS c FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64)),
+{", ".join(sections)},
+r AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM e2)
+SELECT r.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN k USING (vec_id), b
+"""
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_licenses": op2_licenses,
@@ -135,6 +161,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
     "op11_pattern_packing": op11_pattern_packing,
+    "op12_laesa_codes": op12_laesa_codes,
 }
 
-ORACLES = {"op1_warc": OP1_SQL, "op2_licenses": OP2_SQL, "op7_decontaminate": OP7_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op2_licenses": OP2_SQL, "op7_decontaminate": OP7_SQL, "op12_laesa_codes": _op12_sql()}
