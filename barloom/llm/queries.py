@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, laesa, licenses, linededup, neardup, packing, patterns, pii, quality, rules, tokens, warc
+from barloom.llm import decontaminate, laesa, licenses, linededup, merkle, neardup, packing, patterns, pii, quality, rules, tokens, warc
 from barloom.llm.shared import Scratch
 from barloom.llm.tokenrollup import TokenRollup
 from barloom.session import table
@@ -87,6 +87,10 @@ def op12_laesa_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laesa.product_codes(table(spark, sf_dir, "embeddings")).drop("evaluated")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.Manifest(table(spark, sf_dir, "documents"), claimed=merkle.tampered()).proofs()
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
@@ -149,6 +153,33 @@ SELECT r.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGIN
 """
 
 
+def _op13_sql() -> str:
+    part = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    whole = lambda n: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+    bits = "list_reduce(list_prepend({0}, CAST(range(8) AS BIGINT[])), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda s, x: {bits.format('xor(s, x)')}), 4294967295)"
+    run = "sha256(string_agg(d, '' ORDER BY i))"
+    up = "{0} AS (SELECT {2}, i, d, CAST(0 AS BIGINT) AS up FROM {1} UNION ALL SELECT {2}, i // 2, " + run + ", any_value(up) + 1 FROM (SELECT *, max(i) OVER (PARTITION BY {2}) AS most FROM {0}) WHERE most > 0 GROUP BY {2}, i // 2)"
+    walk = "{0} AS (SELECT {2}, i AS leaf, i AS j, CAST(0 AS BIGINT) AS up, '' AS proof, {3} AS folded FROM {1} UNION ALL SELECT w.{2}, w.leaf, w.j // 2, w.up + 1, w.proof || coalesce(s.d, ''), sha256(CASE WHEN w.j % 2 = 1 THEN s.d || w.folded ELSE w.folded || coalesce(s.d, '') END) FROM {0} w JOIN {4} p ON p.k = w.k AND p.up = w.up + 1 AND p.i = w.j // 2 LEFT JOIN {4} s ON s.k = w.k AND s.up = w.up AND s.i = xor(w.j, 1))"
+    last = lambda t: f"(SELECT k, max(up) AS up FROM {t} GROUP BY k)"
+    return f"""
+WITH RECURSIVE r AS (SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS k, {whole("n_chars")} AS d, CASE WHEN {crc} % 7 = 0 THEN {whole("(n_chars + 1)")} ELSE {whole("n_chars")} END AS c FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, d) - 1 AS i FROM r),
+{up.format("t", "n", "k")},
+g AS (SELECT 0 AS k, t.k AS i, d FROM t JOIN {last("t")} m ON m.k = t.k AND m.up = t.up),
+{up.format("u", "g", "k")},
+{walk.format("w", "n", "k", "c", "t")},
+e AS (SELECT w.* FROM w JOIN {last("t")} m ON m.k = w.k AND m.up = w.up),
+f AS (SELECT 0 AS k, row_number() OVER () - 1 AS i, e.k AS lang, e.leaf, e.proof, e.folded FROM e),
+x AS (SELECT i, lang, leaf, lang AS j, CAST(0 AS BIGINT) AS up, proof, folded FROM f UNION ALL
+      SELECT x.i, lang, leaf, j // 2, x.up + 1, proof || coalesce(s.d, ''), sha256(CASE WHEN j % 2 = 1 THEN s.d || folded ELSE folded || coalesce(s.d, '') END)
+      FROM x JOIN u p ON p.up = x.up + 1 AND p.i = j // 2 LEFT JOIN u s ON s.up = x.up AND s.i = xor(j, 1)),
+z AS (SELECT max(up) AS up FROM u)
+SELECT doc_id, n.d AS leaf, g.d AS subroot, u.d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = u.d AS verified
+FROM x JOIN z ON x.up = z.up JOIN u ON u.up = z.up JOIN n ON n.k = x.lang AND n.i = x.leaf JOIN g ON g.i = x.lang
+"""
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_licenses": op2_licenses,
@@ -162,6 +193,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_pattern_packing": op11_pattern_packing,
     "op12_laesa_codes": op12_laesa_codes,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES = {"op1_warc": OP1_SQL, "op2_licenses": OP2_SQL, "op7_decontaminate": OP7_SQL, "op12_laesa_codes": _op12_sql()}
+ORACLES = {"op1_warc": OP1_SQL, "op2_licenses": OP2_SQL, "op7_decontaminate": OP7_SQL, "op12_laesa_codes": _op12_sql(), "op13_merkle_manifest": _op13_sql()}
