@@ -14,7 +14,7 @@ from barloom.functions import recursive
 from barloom.operators import models, optimize, search, significance
 from barloom.registry import query
 from barloom.session import table
-from barloom.sources import bars, store
+from barloom.sources import bars, connectors, store
 from barloom.sources.codes import normalized
 from barloom.streaming import bars as stream
 
@@ -106,6 +106,37 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place.load()
 
 
+_RIVALS = {"first": "substr(symbol, 8, 1) IN ('1', '2', '3') AND ts % 4233600 <> 0", "second": "substr(symbol, 7, 1) IN ('1', '2')", "third": "true"}
+
+
+def rivals(spark: SparkSession, sf_dir: str) -> connectors.Registry:
+    """Brands' bars as three sources: files by symbol with gaps, files by year with volumes in lots, and the bars themselves."""
+    at = f"{_scratch(spark)}/rivals-{uuid.uuid4().hex}"
+    b = bars.bars_brand(spark, sf_dir)
+    connectors.write_files(b.where(_RIVALS["first"]), f"{at}/first")
+    connectors.write_files(b.where(_RIVALS["second"]).withColumn("volume", F.col("volume") / 100), f"{at}/second", "period")
+    return connectors.Registry(connectors.FileConnector("first", f"{at}/first"), connectors.FileConnector("second", f"{at}/second", "period", volume_unit=100.0), connectors.FrameConnector("third", b))
+
+
+def _rivals_sql(fill: bool) -> str:
+    tests = " ".join(f"WHEN {t} THEN '{k}'" for k, t in _RIVALS.items())
+    own = f"SELECT *, CASE {tests} END AS source FROM b" if fill else f"SELECT *, CASE {tests.replace(' AND ts % 4233600 <> 0', '')} END AS source FROM b"
+    gaps = "" if fill else f"WHERE NOT (source = 'first' AND NOT ({_RIVALS['first']}))"
+    return f"WITH b AS ({bars.BRAND_SQL}) SELECT symbol, ts, open, high, low, close, CASE WHEN source = 'second' THEN volume / 100e0 * 100e0 ELSE volume END AS volume, amount, source FROM ({own}) {gaps}"
+
+
+@query("src_fallback", _rivals_sql(False))
+def by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each symbol's bars from the first of three sources that has it."""
+    return rivals(spark, sf_dir).bars(spark)
+
+
+@query("src_gaps_filled", _rivals_sql(True))
+def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, and times that its source lacks from the next."""
+    return rivals(spark, sf_dir).bars(spark, fill_gaps=True)
+
+
 def _scratch(spark: SparkSession) -> str:
     """A new folder in the one that all executors share; where none is set, in local mode, one that goes with the driver."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
