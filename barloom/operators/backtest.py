@@ -6,6 +6,7 @@ them to bars of the tables.
 
 from __future__ import annotations
 
+from barloom.functions.recursive import clamp_ctes
 from barloom.functions.sqlop import P, avg_rank, panel_op, r, safe_corr
 from barloom.plans.staged import Kit
 
@@ -65,7 +66,7 @@ _METRICS = f"""cast(count(*) as bigint) AS n, max(dir) AS direction, cast(sum(CA
 def backtest(k: Kit, horizon: int = 5, cost: float = 0.0003, slippage: float = 0.0, year: int = YEAR, direction: float = 1.0, limits: bool = True, least: int = 30) -> str:
     """Per symbol of a panel (symbol, ts, f, close): 16 figures of the position tanh(f) * direction, set a bar after its
     signal and every horizon bars, held between, frozen over jumps, barred at price limits by board, less costs."""
-    return f"WITH {_backtest(k, horizon, cost, slippage, year, f'{float(direction)!r}', limits, least)} SELECT symbol, {_METRICS.replace(f'{YEAR}e0', f'{year}e0')} FROM d GROUP BY symbol"
+    return f"WITH {_backtest(k, horizon, cost, slippage, year, f'{float(direction)!r}e0', limits, least)} SELECT symbol, {_METRICS.replace(f'{YEAR}e0', f'{year}e0')} FROM d GROUP BY symbol"
 
 
 @panel_op("bt_directed", "supp", FACTOR_VIEW)
@@ -79,7 +80,7 @@ def directed_backtest(k: Kit, horizon: int = 5, cost: float = 0.0003, slippage:
 @panel_op("bt_nav", "supp", FACTOR_VIEW)
 def backtest_nav(k: Kit, horizon: int = 5, cost: float = 0.0003, slippage: float = 0.0, year: int = YEAR, direction: float = 1.0, limits: bool = True, least: int = 30) -> str:
     """The net asset value behind ``backtest``, per bar."""
-    return f"WITH {_backtest(k, horizon, cost, slippage, year, f'{float(direction)!r}', limits, least)} SELECT symbol, ts, {r('held')} AS held, {r('pnl')} AS pnl, {r('exp(lnav)')} AS nav FROM d"
+    return f"WITH {_backtest(k, horizon, cost, slippage, year, f'{float(direction)!r}e0', limits, least)} SELECT symbol, ts, {r('held')} AS held, {r('pnl')} AS pnl, {r('exp(lnav)')} AS nav FROM d"
 
 
 # cross-sections of a user's panel ------------------------------------------------------------------------------
@@ -94,9 +95,9 @@ def _daily_rank_ic(f: str, y: str, rel: str, name: str, least: int) -> str:
     return f"SELECT ts, cast(count(*) as bigint) AS n_{name}, {safe_corr('rf', 'ry')} AS {name} FROM (SELECT ts, {avg_rank('ts', f)} AS rf, {avg_rank('ts', y)} AS ry FROM {rel} WHERE {f} IS NOT NULL AND {y} IS NOT NULL) q GROUP BY ts HAVING count(*) >= {least}"
 
 
-@panel_op("cert_certify", "supp", FACTOR_VIEW)
-def certify(k: Kit, least: int = 10, min_days: int = 60, min_ic: float = 0.01, min_icir: float = 0.1, min_same: float = 0.5, max_dd: float = 0.9) -> str:
-    """Certification of the panel's factor across symbols: mean rank correlation and its ratio to its deviation, the
+@panel_op("cert_screen", "supp", FACTOR_VIEW)
+def screen(k: Kit, least: int = 10, min_days: int = 60, min_ic: float = 0.01, min_icir: float = 0.1, min_same: float = 0.5) -> str:
+    """A screen of the panel's factor over all its bars (``certify`` decides out of sample): mean rank correlation and its ratio to its deviation, the
     sign in both halves of time, the share of days with the mean's sign, monotone fifths, and each gate's verdict."""
     return f"""WITH i AS ({_daily_rank_ic('f', 'y5', '@panel', 'ic', least)}),
     o AS (SELECT *, row_number() OVER (ORDER BY ts) AS q, count(*) OVER () AS n FROM i WHERE ic IS NOT NULL),
@@ -180,16 +181,19 @@ def top_factors(k: Kit, top: int = 1) -> str:
 
 @panel_op("pf_board_backtest", "supp", FACTOR_VIEW)
 def portfolio_backtest(k: Kit, legs: int = 5, cost: float = 0.0003, slippage: float = 0.0002, impact: float = 0.1, capital: float = 1e6, year: int = YEAR) -> str:
-    """Portfolio of f's top and bottom symbols from the bar after the signal: no purchase at the upper limit of the
-    symbol's board and no sale at the lower, square-root impact by the trade's share of the 20-bar amount, and the
+    """Portfolio of f's top and bottom symbols from the bar after the signal: at the upper limit of the symbol's board its
+    weight doesn't rise and at the lower it doesn't fall (it stays as it is), square-root impact by the trade's share of the 20-bar amount, and the
     daily return beside that of all symbols in equal parts: totals, Sharpe, excess and information ratio."""
     f20 = "ROWS BETWEEN 19 PRECEDING AND CURRENT ROW"
+    ctes, last = clamp_ctes("e", "want", "raw >= lim", "raw <= -lim")
+    if k.duck:
+        ctes = ctes.replace("EXCEPT", "EXCLUDE")
     return f"""WITH a AS (SELECT symbol, ts, f, coalesce(r1, 0e0) AS raw, avg(amount) OVER ({P} {f20}) AS adv, stddev_pop(r1) OVER ({P} {f20}) AS sigma, {limit_of()} AS lim,
       row_number() OVER ({X} ORDER BY f DESC, symbol) AS hi, row_number() OVER ({X} ORDER BY f, symbol) AS lo, count(*) OVER ({X}) AS n FROM @panel WHERE f IS NOT NULL),
     w AS (SELECT *, CASE WHEN n < {2 * legs} THEN 0e0 WHEN hi <= {legs} THEN {1 / legs!r} WHEN lo <= {legs} THEN {-1 / legs!r} ELSE 0e0 END AS w FROM a),
     e AS (SELECT *, coalesce(lag(w) OVER ({P}), 0e0) AS want, CASE WHEN abs(raw) > {JUMP!r} THEN 0e0 ELSE raw END AS ret FROM w),
-    b AS (SELECT *, CASE WHEN (raw >= lim AND want > 0e0) OR (raw <= -lim AND want < 0e0) THEN 0e0 ELSE want END AS held FROM e),
-    t AS (SELECT *, abs(held - coalesce(lag(held) OVER ({P}), 0e0)) AS trade FROM b),
+    {ctes},
+    t AS (SELECT *, abs(held - coalesce(lag(held) OVER ({P}), 0e0)) AS trade FROM {last}),
     d AS (SELECT ts, sum(held * ret) AS gross, avg(ret) AS market, sum(trade) AS turnover, sum(trade * ({cost + slippage!r} + {impact!r} * coalesce(sigma, 0e0) * sqrt(least(1e0, trade * {capital!r} / nullif(adv, 0e0))))) AS fees FROM t GROUP BY ts),
     p AS (SELECT *, gross - fees AS pnl FROM d)
     SELECT cast(count(*) as bigint) AS n_days, {r('exp(sum(ln(greatest(1e0 + pnl, 1e-12)))) - 1e0')} AS total, {r(f'avg(pnl) / nullif(stddev_pop(pnl), 0e0) * sqrt({year}e0)')} AS sharpe, {r('avg(turnover)')} AS turnover, {r('sum(fees)')} AS fees,

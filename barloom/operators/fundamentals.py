@@ -13,23 +13,28 @@ from barloom.plans.staged import Kit
 PUBLISHED = 30 * 86400
 # The factors, each a column of the reports or the inverse of one.
 FACTORS = {"ep": "CASE WHEN pe > 0e0 THEN 1e0 / pe END", "bp": "CASE WHEN pb > 0e0 THEN 1e0 / pb END", "roe": "roe", "gross": "gross_margin", "rev_yoy": "rev_yoy", "profit_yoy": "profit_yoy", "debt": "debt_ratio"}
-QUARTER = 7_889_400
+EPOCH = "make_date(1970, 1, 1)"
+#: Reports that a year before is looked for among: those of the five periods before.
+BEFORE = 5
 
-#: Reports of quarters (of equal length) of suppliers' bars; the figures are made up from prices and volumes.
-REPORTS = f"""SELECT symbol, cast((q + 1) * {QUARTER} as bigint) AS report_date, sum(amount) AS revenue, sum(amount * (close / open - 0.98e0)) AS profit,
+#: Reports of the calendar quarters of suppliers' bars, dated their last day; the figures are made up from prices and volumes.
+REPORTS = f"""SELECT symbol, cast(cast(last_day(make_date(y, 3 * q, 1)) - {EPOCH} as int) as bigint) * 86400 AS report_date, sum(amount) AS revenue, sum(amount * (close / open - 0.98e0)) AS profit,
   max(close) / nullif(avg(close - low), 0e0) AS pe, avg(close) / min(close) - 0.9e0 AS pb, avg(close / open - 1e0) AS roe, CASE WHEN avg(high - low) > 0e0 THEN avg(close - low) / avg(high - low) END AS gross_margin, min(low) / max(high) AS debt_ratio
-FROM (SELECT *, cast(floor(ts / {QUARTER}e0) as bigint) AS q FROM @bars) x GROUP BY symbol, q"""
+FROM (SELECT *, cast(year(d) as int) AS y, cast(quarter(d) as int) AS q FROM (SELECT *, {EPOCH} + cast(floor(ts / 86400e0) as int) AS d FROM @bars) x) z GROUP BY symbol, y, q"""
 
 
 def _growth(rel: str) -> str:
-    """Each report with its growth over the report a year (four quarters) before; none where that is about 0 or missing."""
-    ratio = lambda c: f"CASE WHEN abs(b.{c}) > 1e-9 THEN a.{c} / b.{c} - 1e0 END"
-    return f"""SELECT a.*, {ratio('revenue')} AS rev_yoy, {ratio('profit')} AS profit_yoy FROM {rel} a LEFT JOIN {rel} b ON b.symbol = a.symbol AND b.report_date = a.report_date - {4 * QUARTER}"""
+    """Each report with its growth over the last of the five before it that ends on the same day of a year (of February: the
+    last); none where that is missing, or about 0."""
+    at, same = "PARTITION BY symbol ORDER BY report_date", "PARTITION BY symbol, period ORDER BY report_date"
+    ratio = lambda c: f"CASE WHEN no - lag(no) OVER ({same}) <= {BEFORE} AND abs(lag({c}) OVER ({same})) > 1e-9 THEN {c} / lag({c}) OVER ({same}) - 1e0 END"
+    return f"""SELECT *, {ratio('revenue')} AS rev_yoy, {ratio('profit')} AS profit_yoy
+      FROM (SELECT *, row_number() OVER ({at}) AS no, month(d) * 100 + CASE WHEN month(d) = 2 AND day(d) = 29 THEN 28 ELSE day(d) END AS period FROM (SELECT *, {EPOCH} + cast(floor(report_date / 86400e0) as int) AS d FROM {rel}) x) y"""
 
 
 @panel_op("fund_growth", "supp", REPORTS)
 def growth(k: Kit) -> str:
-    """Growth of revenue and profit over the same quarter of the year before."""
+    """Growth of revenue and profit over the period of the year before that ends on the same day."""
     return f"SELECT symbol, report_date, {r('revenue', 4)} AS revenue, {r('rev_yoy')} AS rev_yoy, {r('profit_yoy')} AS profit_yoy FROM ({_growth('@panel')}) g"
 
 

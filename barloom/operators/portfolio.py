@@ -138,7 +138,7 @@ def composite(k: Kit) -> str:
 def rank_average(k: Kit) -> str:
     """Min-max of average ranks of several scores per time, weighted over those present."""
     rank = lambda x: f"(rank() OVER ({X} ORDER BY {x}) + (count(*) OVER ({X}, {x}) - 1) / 2e0 - 1e0) / nullif(count(*) OVER ({X}) - 1, 0)"
-    return f"WITH {BASE} SELECT symbol, ts, {r('(0.7e0 * coalesce(s1, 0e0) + 0.3e0 * coalesce(s2, 0e0)) / nullif(CASE WHEN s1 IS NULL THEN 0e0 ELSE 0.7e0 END + CASE WHEN s2 IS NULL THEN 0e0 ELSE 0.3e0 END, 0e0)')} AS score FROM (SELECT a.symbol, a.ts, a.s1, b.s2 FROM (SELECT symbol, ts, {rank('f1')} AS s1 FROM q) a LEFT JOIN (SELECT symbol, ts, {rank('f2')} AS s2 FROM q WHERE volume > 20e0) b ON b.symbol = a.symbol AND b.ts = a.ts) x"
+    return f"WITH {BASE} SELECT symbol, ts, {('(0.7e0 * coalesce(s1, 0e0) + 0.3e0 * coalesce(s2, 0e0)) / nullif(CASE WHEN s1 IS NULL THEN 0e0 ELSE 0.7e0 END + CASE WHEN s2 IS NULL THEN 0e0 ELSE 0.3e0 END, 0e0)')} AS score FROM (SELECT a.symbol, a.ts, a.s1, b.s2 FROM (SELECT symbol, ts, {rank('f1')} AS s1 FROM q) a LEFT JOIN (SELECT symbol, ts, {rank('f2')} AS s2 FROM q WHERE volume > 20e0) b ON b.symbol = a.symbol AND b.ts = a.ts) x"
 
 
 @sql_op("st_dataset", "supp")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions import recursive
-from barloom.operators import models, optimize, search, significance
+from barloom.operators import backtest, certify, models, optimize, search, significance
 from barloom.registry import query
 from barloom.session import table
 from barloom.sources import bars, connectors, store
@@ -33,18 +33,67 @@ def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     }.items()]).withColumn("score", F.col("mom"))
 
 
+_BY_BAR = "OVER (PARTITION BY symbol ORDER BY ts)"
+#: The same panel for the checks.
+PANEL_SQL = f"""SELECT *, mom AS score FROM (SELECT ts, symbol, industry, ret, lead(ret) {_BY_BAR} AS label, close / nullif(lag(close, 5) {_BY_BAR}, 0) - 1 AS mom, stddev_pop(ret) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING) AS vol,
+  volume / nullif(avg(volume) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), 0) - 1 AS turn FROM (SELECT *, close / nullif(lag(close) {_BY_BAR}, 0) - 1 AS ret FROM ({bars.SUPP_SQL})))"""
+
+
 @query("num_factor_report")
 def factor_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = "partition by symbol order by ts"
     return significance.factor_reports(bars.bars_brand(spark, sf_dir).select("symbol", "ts", F.expr(f"close / nullif(lag(close, 5) over ({p}), 0e0) - 1e0").alias("f"), F.expr(f"lead(close, 5) over ({p}) / close - 1e0").alias("y")))
 
 
-@query("num_overfit_probability")
+_RETURNS = "coalesce(close / nullif(lag(close) over (partition by symbol order by ts), 0e0) - 1e0, 0e0)"
+_PBO_SQL = f"""WITH RECURSIVE r AS (SELECT symbol, ts, {_RETURNS} AS pnl FROM ({bars.BRAND_SQL})),
+chosen(k, picked) AS (SELECT i, [i] FROM range(8) t(i) UNION ALL SELECT i, list_append(picked, i) FROM chosen, range(8) t(i) WHERE i > k AND len(picked) < 4),
+splits AS (SELECT picked FROM chosen WHERE len(picked) = 4),
+clock AS (SELECT list_sort(list(DISTINCT ts)) AS all_ts FROM r),
+b AS (SELECT symbol, (list_position(all_ts, ts) - 1) // (len(all_ts) // 8) AS b, sum(pnl) / any_value(len(all_ts) // 8) AS x FROM r, clock GROUP BY symbol, b),
+h AS (SELECT picked, symbol, sum(CASE WHEN list_contains(picked, b) THEN x ELSE 0 END) / 4 AS train, sum(CASE WHEN list_contains(picked, b) THEN 0 ELSE x END) / 4 AS test FROM b, splits WHERE b < 8 GROUP BY picked, symbol),
+w AS (SELECT picked, arg_max(test, train) AS best, stddev_pop(train) >= 1e-9 AS told FROM h GROUP BY picked),
+v AS (SELECT picked, avg(CASE WHEN test > best THEN 1.0 ELSE 0.0 END) > 0.5 AND any_value(told) AS worse FROM h JOIN w USING (picked) GROUP BY picked)
+SELECT round(avg(CASE WHEN worse THEN 1.0 ELSE 0.0 END), 9) AS pbo, (SELECT count(DISTINCT symbol) FROM b) AS n_series, count(*) AS n_splits FROM v"""
+
+
+@query("num_overfit_probability", _PBO_SQL)
 def overfit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the weekly returns of the brands as competing series (a matrix of brands by weeks)."""
-    wide = bars.bars_brand(spark, sf_dir).select("symbol", "ts", F.expr("coalesce(close / nullif(lag(close) over (partition by symbol order by ts), 0e0) - 1e0, 0e0)").alias("r")).groupBy("ts").pivot("symbol").agg(F.first("r")).orderBy("ts").toPandas()
-    pbo = significance.overfit_probability(wide.drop(columns="ts").fillna(0.0).to_numpy().T, 8)
-    return spark.createDataFrame([(pbo, significance.expected_max_sharpe(100))], "pbo double, expected_max_sharpe double")
+    """Of the weekly returns of the brands as competing series."""
+    panel = bars.bars_brand(spark, sf_dir).select(F.col("symbol").alias("series"), "ts", F.expr(_RETURNS).alias("pnl"))
+    return certify.overfit_probability(panel, 8).withColumn("pbo", F.round("pbo", 9))
+
+
+def candidates_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Three factors of suppliers' bars as formulas (with five-bar labels), and as candidates of the first symbol; scores by rule."""
+    wide = spark.sql(backtest.FACTOR_VIEW.replace("@bars", "{bars}"), bars=bars.bars_supp(spark, sf_dir))
+    panel = wide.selectExpr("symbol", "ts", "y5 AS y", "stack(3, 'f', f, 'g', g, 'f-g', f - g) AS (formula, f)")
+    return panel, panel.groupBy("formula").agg(F.min("symbol").alias("source")).withColumn("five_total", F.when(F.col("formula") == "g", 0.3).otherwise(0.6).cast("double"))
+
+
+_CERT_SQL = f"""WITH w AS ({backtest.FACTOR_VIEW.replace("@bars", f"({bars.SUPP_SQL})")}),
+p AS (SELECT 'f' AS formula, symbol, ts, f, y5 AS y FROM w UNION ALL SELECT 'g', symbol, ts, g, y5 FROM w UNION ALL SELECT 'f-g', symbol, ts, f - g, y5 FROM w),
+l AS (SELECT formula, symbol, list_sort(list(row(ts, f, y))) AS l FROM p WHERE f IS NOT NULL AND y IS NOT NULL GROUP BY formula, symbol),
+k AS (SELECT formula, symbol, greatest(250, len(l) // 4) AS keep, l FROM l WHERE greatest(250, len(l) // 4) < len(l)),
+o AS (SELECT formula, symbol, keep, unnest(l[len(l) - keep + 1:]) AS r FROM k),
+s AS (SELECT formula, count(*) AS n_stocks, min(keep) AS oos FROM k GROUP BY formula),
+x AS (SELECT formula, r[1] AS ts, r[2] AS f, r[3] AS y FROM o),
+rk AS (SELECT formula, ts, f, y, rank() OVER (PARTITION BY formula, ts ORDER BY f) + (count(*) OVER (PARTITION BY formula, ts, f) + 1) / 2.0 AS a, rank() OVER (PARTITION BY formula, ts ORDER BY y) + (count(*) OVER (PARTITION BY formula, ts, y) + 1) / 2.0 AS b FROM x),
+ic AS (SELECT formula, ts, corr(a, b) AS ic FROM rk GROUP BY formula, ts HAVING count(*) >= 8 AND stddev_pop(f) >= 1e-12 AND stddev_pop(y) >= 1e-12),
+li AS (SELECT formula, list(ic ORDER BY ts) AS v FROM ic GROUP BY formula),
+d AS (SELECT formula, len(v) AS n_days, list_avg(v) AS mean_ic, list_avg(v[:len(v) // 2]) AS first_half, list_avg(v[len(v) // 2 + 1:]) AS second_half, len(v) // 20 AS nb, v FROM li),
+dr AS (SELECT formula, i, avg(list_sum(v[(('0x' || substr(md5('0-' || i || '-' || j), 1, 8))::BIGINT % nb) * 20 + 1:(('0x' || substr(md5('0-' || i || '-' || j), 1, 8))::BIGINT % nb) * 20 + 20]) / 20) AS boot FROM d, range(500) t(i), range(100) u(j) WHERE j < nb GROUP BY formula, i),
+pv AS (SELECT formula, avg(CASE WHEN abs(boot - m) >= abs(mean_ic) THEN 1.0 ELSE 0.0 END) AS p FROM (SELECT *, avg(boot) OVER (PARTITION BY formula) AS m FROM dr) JOIN d USING (formula) GROUP BY formula)
+SELECT formula, (SELECT min(symbol) FROM w) AS source, 'cross' AS mode, n_stocks, n_days, round(mean_ic, 9) AS mean_ic, p, round(first_half, 9) AS first_half, round(second_half, 9) AS second_half, CASE WHEN formula = 'g' THEN 0.3e0 ELSE 0.6e0 END AS five_total,
+  n_days >= least(250, greatest(200, oos - 10)) AS enough, first_half * second_half > 0 AS agrees, abs(mean_ic) >= 0.02 AS strong, p <= 0.05 AS significant, formula <> 'g' AS rounded,
+  n_days >= least(250, greatest(200, oos - 10)) AND first_half * second_half > 0 AND abs(mean_ic) >= 0.02 AND p <= 0.05 AND formula <> 'g' AS certified FROM d JOIN pv USING (formula) JOIN s USING (formula)"""
+
+
+@query("cert_certify", _CERT_SQL)
+def certified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Across 8 symbols at least, as the smallest tables have 10."""
+    found = certify.certify(*candidates_of(spark, sf_dir), least_stocks=8)
+    return found.withColumns({c: F.round(c, 9) for c in ("mean_ic", "first_half", "second_half")})
 
 
 @query("num_neutralize")
@@ -68,14 +117,21 @@ for _method in ("markowitz", "risk_parity"):
     query(f"num_optimize_{_method}")(lambda spark, sf_dir, m=_method: optimize.optimize_panel(supplier_panel(spark, sf_dir), m))
 
 
-@query("num_limit_backtest")
+_LIMIT_SQL = f"""WITH RECURSIVE w AS (SELECT ts, symbol, CASE WHEN row_number() OVER (PARTITION BY ts ORDER BY score DESC, symbol) <= 5 THEN 0.2e0 ELSE 0e0 END AS w, coalesce(ret, 0e0) AS ret FROM ({PANEL_SQL}) WHERE score IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM w),
+h AS (SELECT symbol, ts, i, ret, 0e0 AS last, CASE WHEN ret >= 0.099e0 AND w > 0e0 OR ret <= -0.099e0 AND w < 0e0 THEN 0e0 ELSE w END AS held FROM n WHERE i = 1 UNION ALL
+      SELECT n.symbol, n.ts, n.i, n.ret, held, CASE WHEN n.ret >= 0.099e0 AND w > held OR n.ret <= -0.099e0 AND w < held THEN held ELSE w END FROM h JOIN n ON n.symbol = h.symbol AND n.i = h.i + 1)
+SELECT ts, round(sum(last * CASE WHEN abs(ret) > 0.21e0 THEN 0e0 ELSE ret END) - 0.0003e0 * sum(abs(held - last)), 9) AS pnl FROM h GROUP BY ts"""
+
+
+@query("num_limit_backtest", _LIMIT_SQL)
 def limit_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily pnl of ranked weights that limits block, symbol by symbol, summed per time."""
     n = F.expr("row_number() over (partition by ts order by score desc, symbol)")
     w = supplier_panel(spark, sf_dir).where("score is not null").select("ts", "symbol", F.when(n <= 5, 0.2).otherwise(0.0).alias("w"), F.coalesce("ret", F.lit(0.0)).alias("ret"))
     held = recursive.limit_blocked(w).withColumn("last", F.expr("coalesce(lag(held) over (partition by symbol order by ts), 0e0)"))
     safe = F.when(F.abs("ret") > 0.21, 0.0).otherwise(F.col("ret"))
-    return held.groupBy("ts").agg((F.sum(F.col("last") * safe) - 0.0003 * F.sum(F.abs(F.col("held") - F.col("last")))).alias("pnl"))
+    return held.groupBy("ts").agg(F.round(F.sum(F.col("last") * safe) - 0.0003 * F.sum(F.abs(F.col("held") - F.col("last"))), 9).alias("pnl"))
 
 
 _NUMBERED = f"SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM ({bars.BRAND_SQL})"
