@@ -52,6 +52,87 @@ def stumps(x: np.ndarray, y: np.ndarray, to: np.ndarray, rounds: int = 60, rate:
     return out
 
 
+class Trees:
+    """Regression trees of a given depth on quantile bins, grown level by level from histograms of (node, feature, bin).
+
+    Missing values have the lowest bin of their own, so a split can set them apart; others are cut at training quantiles.
+    A tree is arrays over its complete binary heap; a node that no split improves sends all its rows left.
+    """
+
+    def __init__(self, x: np.ndarray, bins: int = 32):
+        q = np.linspace(0, 1, bins + 1)[1:-1]
+        self.cuts = [np.unique(np.quantile(c[np.isfinite(c)], q)) if np.isfinite(c).any() else np.empty(0) for c in x.T]
+        self.bins = bins + 1
+        self.gain = np.zeros(x.shape[1])
+
+    def binned(self, x: np.ndarray) -> np.ndarray:
+        """1 + the number of cuts at or below each value; 0 for a missing one."""
+        return np.column_stack([np.where(np.isfinite(c), 1 + np.searchsorted(cut, c, "right"), 0) for cut, c in zip(self.cuts, x.T, strict=True)]).astype(np.int32)
+
+    def grow(self, b: np.ndarray, y: np.ndarray, depth: int, least: int, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(feature, last bin that goes left) of the inner nodes, and the values of the leaves."""
+        n, wide = len(y), self.bins
+        feature, at = np.zeros((1 << depth) - 1, np.int64), np.full((1 << depth) - 1, wide, np.int64)
+        node = np.zeros(n, np.int64)
+        for level in range(depth):
+            first, many = (1 << level) - 1, 1 << level
+            best = np.zeros(many)
+            for j in features:
+                key = node * wide + b[:, j]
+                s, c = (np.bincount(key, w, many * wide).reshape(many, wide) for w in (y, None))
+                ls, lc = s.cumsum(1)[:, :-1], c.cumsum(1)[:, :-1]
+                ts, tc = s.sum(1, keepdims=True), c.sum(1, keepdims=True)
+                ok = (lc >= least) & (tc - lc >= least)
+                gain = np.where(ok, ls**2 / np.maximum(lc, 1) + (ts - ls) ** 2 / np.maximum(tc - lc, 1) - ts**2 / np.maximum(tc, 1), 0.0)
+                k = gain.argmax(1)
+                won = gain[np.arange(many), k]
+                better = won > best + 1e-12
+                best[better], feature[first : first + many][better], at[first : first + many][better] = won[better], j, k[better]
+            np.add.at(self.gain, feature[first : first + many], best)
+            node = 2 * node + (b[np.arange(n), feature[first + node]] > at[first + node])
+        total, count = np.bincount(node, y, 1 << depth), np.bincount(node, minlength=1 << depth)
+        return feature, at, total / np.maximum(count, 1)
+
+    @staticmethod
+    def told(tree: tuple[np.ndarray, np.ndarray, np.ndarray], b: np.ndarray) -> np.ndarray:
+        feature, at, leaf = tree
+        node, rows = np.zeros(len(b), np.int64), np.arange(len(b))
+        for level in range((len(leaf) - 1).bit_length()):
+            here = (1 << level) - 1 + node
+            node = 2 * node + (b[rows, feature[here]] > at[here])
+        return leaf[node]
+
+
+def boosted(x: np.ndarray, y: np.ndarray, to: np.ndarray, rounds: int = 300, rate: float = 0.05, depth: int = 5, least: int = 30, rows: float = 0.8, columns: float = 0.8, seed: int = 42, gains: list | None = None) -> np.ndarray:
+    """Gradient boosting of squared errors; each tree sees shares of the rows and columns."""
+    rng, t = np.random.default_rng(seed), Trees(x)
+    a, b = t.binned(x), t.binned(to)
+    fit, out = np.full(len(y), y.mean()), np.full(len(to), y.mean())
+    for _ in range(rounds):
+        some = np.flatnonzero(rng.random(len(y)) < rows) if rows < 1 else np.arange(len(y))
+        few = rng.permutation(x.shape[1])[: max(1, round(columns * x.shape[1]))]
+        if len(some) < 2 * least:
+            break
+        tree = t.grow(a[some], (y - fit)[some], depth, least, np.sort(few))
+        fit += rate * t.told(tree, a)
+        out += rate * t.told(tree, b)
+    if gains is not None:
+        gains.append(t.gain / max(t.gain.sum(), 1e-300))
+    return out
+
+
+def forest(x: np.ndarray, y: np.ndarray, to: np.ndarray, n: int = 100, depth: int = 8, least: int = 5, seed: int = 42, gains: list | None = None) -> np.ndarray:
+    """Mean of trees on rows drawn with repetition; all columns are looked at."""
+    rng, t = np.random.default_rng(seed), Trees(x)
+    a, b, out = t.binned(x), t.binned(to), np.zeros(len(to))
+    for _ in range(n):
+        d = rng.integers(0, len(y), len(y))
+        out += t.told(t.grow(a[d], y[d], depth, least, np.arange(x.shape[1])), b) / n
+    if gains is not None:
+        gains.append(t.gain / max(t.gain.sum(), 1e-300))
+    return out
+
+
 def mlp(x: np.ndarray, y: np.ndarray, to: np.ndarray, hidden: int = 16, rounds: int = 200, seed: int = 0) -> np.ndarray:
     """One hidden layer of tanh units, full-batch Adam."""
     a, b = standardized(x, to)
@@ -92,7 +173,20 @@ def stacked(models: list[Model], share: float = 0.7, gap: int = 0) -> Model:
     return run
 
 
-MODELS: dict[str, Model] = {"ridge": ridge, "stumps": stumps, "mlp": mlp, "bagging": bagged(ridge), "stacking": stacked([ridge, stumps])}
+MODELS: dict[str, Model] = {"ridge": ridge, "stumps": stumps, "mlp": mlp, "bagging": bagged(ridge), "stacking": stacked([ridge, stumps]), "trees": boosted, "forest": forest}
+
+
+def _folds(table: DataFrame, train: int, step: int, gap: int) -> DataFrame:
+    """Rows of each fold, `learn` telling those it is fitted on from those it predicts: it is fitted on the `train` times that
+    end `gap` times before it."""
+    times = table.select("ts").distinct().withColumn("i", F.expr("row_number() over (order by ts) - 1")).withColumn("times", F.expr("count(*) over ()"))
+    rows = table.join(times, "ts")
+    fold = F.floor((F.col("i") - train - gap) / step)
+    used = F.sequence(F.greatest(F.lit(0), F.floor((F.col("i") - train) / step)).cast("int"), F.greatest(F.lit(0), F.floor(F.col("i") / step)).cast("int"))
+    start = F.col("fold") * step + train + gap
+    learn = rows.withColumn("fold", F.explode(used)).where((F.col("i") < start - gap) & (F.col("i") >= start - gap - train) & (start < F.col("times"))).withColumn("learn", F.lit(True))
+    told = rows.where(F.col("i") >= train + gap).withColumn("fold", fold.cast("int")).withColumn("learn", F.lit(False))
+    return learn.drop("i", "times").unionByName(told.drop("i", "times"))
 
 
 def walk_forward(table: DataFrame, features: list[str], model: str = "ridge", train: int = 120, step: int = 20, gap: int = 1, least: int = 100) -> DataFrame:
@@ -101,13 +195,6 @@ def walk_forward(table: DataFrame, features: list[str], model: str = "ridge", tr
     Folds are cut from the time axis; a row goes to each fold that trains on it and to the one that predicts it, and
     folds are fitted apart from each other.  Times after the last whole fold make a shorter one.
     """
-    times = table.select("ts").distinct().withColumn("i", F.expr("row_number() over (order by ts) - 1"))
-    rows = table.join(times, "ts")
-    fold = F.floor((F.col("i") - train - gap) / step)
-    used = F.sequence(F.greatest(F.lit(0), F.floor((F.col("i") - train) / step)).cast("int"), F.greatest(F.lit(0), F.floor(F.col("i") / step)).cast("int"))
-    start = F.col("fold") * step + train + gap
-    learn = rows.withColumn("fold", F.explode(used)).where((F.col("i") < start - gap) & (F.col("i") >= start - gap - train)).withColumn("learn", F.lit(True))
-    told = rows.where(F.col("i") >= train + gap).withColumn("fold", fold.cast("int")).withColumn("learn", F.lit(False))
     cols = ["fold", "learn", "ts", "symbol", "label", *features]
     fit = MODELS[model]
 
@@ -118,4 +205,25 @@ def walk_forward(table: DataFrame, features: list[str], model: str = "ridge", tr
         pred = fit(a[features].to_numpy(float), a["label"].to_numpy(float), b[features].to_numpy(float))
         return pd.DataFrame({"ts": b["ts"], "symbol": b["symbol"], "pred": pred, "fold": b["fold"]})
 
-    return learn.select(*cols).union(told.select(*cols)).groupBy("fold").applyInPandas(plain(run), "ts long, symbol string, pred double, fold int")
+    return _folds(table, train, step, gap).select(*cols).groupBy("fold").applyInPandas(plain(run), "ts long, symbol string, pred double, fold int")
+
+
+def combine_ml(factors: DataFrame, names: list[str], label: str = "label", window: int = 120, step: int = 20, gap: int = 1, least: int = 60, model: str = "forest") -> tuple[DataFrame, DataFrame]:
+    """Factors combined by trees: scores (ts, symbol, score, fold), and each fold's importance of each factor.
+
+    A fold of `step` times is fitted on the `window` times before it, less the `gap` whose labels aren't known yet; folds with
+    fewer than `least` known rows give no score.  Missing factors are told apart, not filled in.
+    """
+    table = factors.withColumnRenamed(label, "label") if label != "label" else factors
+    scores = walk_forward(table, names, model, window, step, gap, least).withColumnRenamed("pred", "score")
+    fit = MODELS[model]
+
+    def weigh(g: pd.DataFrame) -> pd.DataFrame:
+        a, gains = g[g["label"].notna()].sort_values(["ts", "symbol"]), []
+        if len(a) < least:
+            return pd.DataFrame({"fold": [], "factor": [], "importance": []}).astype({"fold": int, "factor": object})
+        fit(a[names].to_numpy(float), a["label"].to_numpy(float), a[names].to_numpy(float)[:0], gains=gains)
+        return pd.DataFrame({"fold": g["fold"].iloc[0], "factor": np.array(names, object), "importance": gains[0]})
+
+    learned = _folds(table, window, step, gap).where("learn").select("fold", "ts", "symbol", "label", *names)
+    return scores, learned.groupBy("fold").applyInPandas(weigh, "fold int, factor string, importance double")

@@ -146,10 +146,41 @@ for _model in models.MODELS:
     query(f"ml_{_model}")(lambda spark, sf_dir, m=_model: models.walk_forward(supplier_panel(spark, sf_dir).where("label is not null"), STYLES, m, train=100, step=50))
 
 
+@query("pf_combine_ml")
+def combine_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' styles combined by a forest, refitted every 20 weeks on 120."""
+    return models.combine_ml(supplier_panel(spark, sf_dir), STYLES)[0]
+
+
+@query("pf_combine_ml_importance")
+def combine_ml_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.combine_ml(supplier_panel(spark, sf_dir), STYLES)[1]
+
+
 @query("search_nsga")
 def nsga(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.mine(bars.bars_brand(spark, sf_dir), 4, 1)
-    return spark.createDataFrame([(f.signature(), *map(float, s)) for f, s in found], "formula string, ic double, one_sign double, steadiness double")
+    """At the library's own defaults: 12 formulas, 2 generations, five objectives."""
+    found = search.mine(bars.bars_brand(spark, sf_dir))
+    return spark.createDataFrame([(f.signature(), *map(float, s)) for f, s in found], "formula string, ic double, up_share double, top_return double, top_sharpe double, top_win double")
+
+
+_OBJ_SQL = f"""WITH b AS (SELECT symbol, ts, close, volume, lead(close, 5) OVER w / close - 1 AS y, close / nullif(lag(close, 5) OVER w, 0) - 1 AS mom, volume AS vol FROM ({bars.BRAND_SQL}) WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+l AS (SELECT symbol, list(coalesce(mom, 0) ORDER BY ts) AS f, list(y ORDER BY ts) AS y FROM b WHERE y IS NOT NULL GROUP BY symbol),
+k AS (SELECT symbol, t, unnest(f[t - 19:t]) AS f, unnest(y[t - 19:t]) AS y FROM l, range(20, 5000) r(t) WHERE t < len(f)),
+c AS (SELECT symbol, CASE WHEN stddev_pop(f) >= 1e-9 AND stddev_pop(y) >= 1e-9 THEN covar_pop(f, y) / (stddev_pop(f) * stddev_pop(y)) END AS r FROM k GROUP BY symbol, t),
+i AS (SELECT symbol, abs(avg(r)) AS ic, avg(CASE WHEN r > 0 THEN 1.0 WHEN r IS NOT NULL THEN 0.0 END) AS up FROM c GROUP BY symbol),
+u AS (SELECT symbol, unnest(f) AS f, unnest(y) AS y FROM l), q AS (SELECT symbol, quantile_cont(f, 0.9) AS cut FROM u GROUP BY symbol),
+t AS (SELECT symbol, count(*) AS n, avg(y) AS a, stddev_pop(y) AS s, avg(CAST(y > 0 AS INT)) AS w FROM u JOIN q USING (symbol) WHERE f >= cut GROUP BY symbol)
+SELECT symbol, round(ic, 9) AS mom_ic, round(up, 9) AS mom_up, round(CASE WHEN n < 5 THEN 0 ELSE a END, 9) AS mom_ret, round(CASE WHEN n < 5 OR s <= 1e-9 THEN 0 ELSE greatest(-10, least(10, a / (s + 1e-9) * sqrt(244))) END, 6) AS mom_sharpe, round(CASE WHEN n < 5 THEN 0 ELSE w END, 9) AS mom_win FROM i JOIN t USING (symbol)"""
+
+
+@query("search_objectives", _OBJ_SQL)
+def five_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five objectives of a plain momentum factor, by symbol."""
+    p = "over (partition by symbol order by ts)"
+    b = bars.bars_brand(spark, sf_dir).selectExpr("symbol", "ts", f"lead(close, 5) {p} / close - 1e0 AS y", f"close / nullif(lag(close, 5) {p}, 0e0) - 1e0 AS mom")
+    got = search.series_objectives(b, ["mom"])
+    return got.select("symbol", *[F.round(c, 6 if c == "mom_sharpe" else 9).alias(c) for c in got.columns[1:]])
 
 
 @query("store_round_trip", bars.BRAND_SQL)
