@@ -18,6 +18,7 @@ class Window:
 
     def __init__(self, p: Plan, w: int | None, keep: float | None):
         self.p, self.k = p, p.k
+        self.whole = w is None and keep is None
         if w is None:
             n = p.let("count(*) over (partition by symbol)")
             off = "0" if keep is None else f"cast(floor((1e0 - {keep!r}e0) * {n}) as bigint)"
@@ -32,6 +33,8 @@ class Window:
     def array(self, x: str) -> str:
         if self.fixed:
             return self.p.let(self.k.list(x, self.k.over(self.fixed)))
+        if self.whole:  # made once a symbol, and kept at its last row alone: memory grows with the series, not with its square
+            return self.p.let(f"case when rn = {self.size} then {self.k.list(x, f'over ({self.k.P} rows between unbounded preceding and unbounded following)')} end")
         whole = self.p.let(self.k.list(x, self.k.ever))
         return self.p.let(f"{whole}[greatest(1, rn - {self.size} + 1):rn]" if self.k.duck else f"slice({whole}, cast(greatest(1, rn - {self.size} + 1) as int), cast(least({self.size}, rn) as int))")
 

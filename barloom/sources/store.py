@@ -7,12 +7,14 @@ partitioned by a hash of the symbol, and an upsert rewrites only the parts whose
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.plans.formula_a import formula_hash
+from barloom.sources import cache
 from barloom.sources.log import Log
 
 BAR_COLUMNS = ["symbol", "ts", "open", "high", "low", "close", "volume", "amount"]
@@ -43,7 +45,13 @@ class BarStore:
     def _pointer(self) -> tuple[int, dict[int, str]]:
         """The number of the next version, and the folder of each part now."""
         number, entry = self.log.last()
-        return number, {int(p): f for p, f in (entry or {}).items()}
+        return number, {int(p): f for p, f in (entry or {}).items() if p.isdigit()}
+
+    def fingerprint(self) -> str:
+        """Of all bars, from the sums that the log has of each part: no bar is read."""
+        _, entry = self.log.last()
+        sums = [tuple(map(int, v.split(","))) for k, v in (entry or {}).items() if k.startswith("sums-")]
+        return ",".join(map(str, cache.added(sums)))
 
     def load(self, symbols: list[str] | None = None) -> DataFrame:
         _, now = self._pointer()
@@ -57,6 +65,8 @@ class BarStore:
         """Rewrites the parts that new's symbols hash to; the others keep their files."""
         new = new.withColumn("_part", F.pmod(F.xxhash64("symbol"), F.lit(self.parts)).cast("int"))
         touched = sorted(r[0] for r in new.select("_part").distinct().collect())
+        if not touched:
+            return
         while True:
             (number, now), version = self._pointer(), uuid.uuid4().hex
             held = [f"{self.path}/{now[p]}" for p in touched if p in now]
@@ -65,31 +75,44 @@ class BarStore:
                 out = merge_bars(self.spark.read.parquet(*held).select(*BAR_COLUMNS), out)
             out = out.withColumn("part", F.pmod(F.xxhash64("symbol"), F.lit(self.parts)).cast("int"))
             out.repartition("part").sortWithinPartitions("symbol", "ts").write.partitionBy("part").parquet(f"{self.path}/{version}")
-            if self.log.append(number, now | {p: f"{version}/part={p}" for p in touched}):
+            made = self.spark.read.parquet(f"{self.path}/{version}")  # whole, and on disk: hashing it costs no merge
+            sums = {f"sums-{r.part}": f"{r.n},{int(r.a) % cache.WORD},{int(r.b) % cache.WORD}" for r in made.groupBy("part").agg(*cache.row_sums(made, BAR_COLUMNS)).collect()}
+            kept = {k: v for k, v in (self.log.entry(f"{number - 1:012d}") if number else {}).items() if k.startswith("sums-")}
+            if self.log.append(number, {str(k): v for k, v in (now | {p: f"{version}/part={p}" for p in touched}).items()} | kept | sums):
                 return
             self.log.delete(version)
 
 
 class FactorStore:
-    """Factors keyed by symbol and the hash of formula and vocabulary; the index is a table beside them."""
+    """Factors keyed by symbol and the hash of formula and vocabulary, in folders that a log names: readers see a factor's old
+    version until the new one is whole."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.log = Log(spark, self.path)
 
     def save(self, factor: DataFrame, formula: list[int], version: str, kind: str = "tokens", report: dict[str, float] | None = None) -> str:
-        """factor: symbol, ts, factor.  A factor of the same id is written anew."""
+        """factor: symbol, ts, factor.  A factor of the same id gets a new version."""
         fid = formula_hash(formula, version)
-        factor.select("symbol", "ts", "factor").write.mode("overwrite").parquet(f"{self.path}/factors/factor_id={fid}")
-        row = [(fid, kind, formula, version, {k: float(v) for k, v in (report or {}).items()})]
-        self.spark.createDataFrame(row, "factor_id string, kind string, formula array<int>, version string, report map<string, double>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/index/entry={fid}")
+        folder = f"factors/{uuid.uuid4().hex}"
+        factor.select("symbol", "ts", "factor").write.parquet(f"{self.path}/{folder}")
+        entry = {"factor_id": fid, "folder": folder, "kind": kind, "formula": list(formula), "version": version, "report": {k: float(v) for k, v in (report or {}).items()}}
+        while not self.log.append(self.log.last()[0], entry):
+            pass
         return fid
 
+    def _now(self) -> dict[str, dict]:
+        return {e["factor_id"]: e for e in self.log.entries()}
+
     def index(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/index").drop("entry")
+        rows = [(e["factor_id"], e["kind"], e["formula"], e["version"], e["report"]) for e in self._now().values()]
+        return self.spark.createDataFrame(rows, "factor_id string, kind string, formula array<int>, version string, report map<string, double>")
 
     def load(self, factor_id: str | None = None) -> DataFrame:
-        found = self.spark.read.parquet(f"{self.path}/factors")
-        return found if factor_id is None else found.where(F.col("factor_id") == factor_id)
+        held = [e for f, e in self._now().items() if factor_id in (None, f)]
+        empty = self.spark.createDataFrame([], "symbol string, ts long, factor double, factor_id string")
+        parts = [self.spark.read.parquet(f"{self.path}/{e['folder']}").withColumn("factor_id", F.lit(e["factor_id"])) for e in held]
+        return functools.reduce(DataFrame.unionByName, parts) if parts else empty
 
     def listing(self, by: str = "ic") -> DataFrame:
         return self.index().withColumn(by, F.col("report")[by]).orderBy(F.desc_nulls_last(by), "factor_id")
