@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions import recursive
-from barloom.operators import backtest, certify, models, optimize, search, significance
+from barloom.operators import backtest, certify, models, optimize, policy, search, significance
 from barloom.registry import query
 from barloom.session import table
 from barloom.sources import bars, connectors, store
 from barloom.sources.codes import normalized
 from barloom.streaming import bars as stream
+from barloom.streaming import ordered
 
 STYLES = ["mom", "vol", "turn"]
 
@@ -164,6 +165,23 @@ def nsga(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(f.signature(), *map(float, s)) for f, s in found], "formula string, ic double, up_share double, top_return double, top_sharpe double, top_win double")
 
 
+@query("search_policy")
+def by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short search for token formulas over brands' bars: two steps of eight formulas."""
+    found = policy.mine_policy(bars.bars_brand(spark, sf_dir), 2, settings=policy.Settings(batch=8))
+    return spark.createDataFrame([(" ".join(t), float(x)) for x, t in found], "formula string, reward double")
+
+
+@query("stream_ordered_ema", f"""WITH RECURSIVE e AS (SELECT event_type AS symbol, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM (SELECT *, max(ts) OVER () AS last FROM events) WHERE date_trunc('day', ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 DAY <= last - INTERVAL 2 DAYS),
+  m AS (SELECT symbol, event_id, k, value AS ema FROM e WHERE k = 1 UNION ALL SELECT e.symbol, e.event_id, e.k, e.value / 3 + m.ema * 2 / 3 FROM m JOIN e ON e.symbol = m.symbol AND e.k = m.k + 1) SELECT symbol, event_id, round(ema, 6) AS ema FROM m""")
+def ordered_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream's exponential mean in event time, run to its end: events the watermark has passed."""
+    at = f"{_scratch(spark)}/ema-{uuid.uuid4().hex}"
+    out = ordered.ordered_ema(stream.events(spark, sf_dir), 5, step=86400)
+    out.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("symbol", "event_id", F.round("ema", 6).alias("ema"))
+
+
 _OBJ_SQL = f"""WITH b AS (SELECT symbol, ts, close, volume, lead(close, 5) OVER w / close - 1 AS y, close / nullif(lag(close, 5) OVER w, 0) - 1 AS mom, volume AS vol FROM ({bars.BRAND_SQL}) WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
 l AS (SELECT symbol, list(coalesce(mom, 0) ORDER BY ts) AS f, list(y ORDER BY ts) AS y FROM b WHERE y IS NOT NULL GROUP BY symbol),
 k AS (SELECT symbol, t, unnest(f[t - 19:t]) AS f, unnest(y[t - 19:t]) AS y FROM l, range(20, 5000) r(t) WHERE t < len(f)),
