@@ -15,6 +15,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from barloom.operators import reward
@@ -192,8 +193,12 @@ def spark_score(bars: DataFrame, vocab: Vocabulary | None = None, mode: str = "f
             if made is not None:
                 cols[f"f{i}"] = p.let(made)
         made = p.spark(numbered(bars), cols | {"ret": p.let(f"coalesce(lead(close) over ({p.k.P}) / close - 1e0, 0e0)")})
+        made = made.persist(StorageLevel.MEMORY_AND_DISK)  # scores read it several times; lost parts are made again
         long = made.selectExpr("symbol", "ts", "ret", f"stack({len(cols)}, {', '.join(f'{c!r}, {c}' for c in cols)}) AS (formula, f)")
-        found = {r.formula: r.reward for r in reward.rewards(long, mode=mode, **options).select("formula", "reward").collect()}  # one number a formula
+        try:
+            found = {r.formula: r.reward for r in reward.rewards(long, mode=mode, **options).select("formula", "reward").collect()}  # one number a formula
+        finally:
+            made.unpersist()
         return [found.get(f"f{i}", reward.NO_FACTOR) for i in range(len(batch))]
 
     return score

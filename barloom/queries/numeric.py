@@ -167,8 +167,8 @@ def nsga(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("search_policy")
 def by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A short search for token formulas over brands' bars: two steps of eight formulas."""
-    found = policy.mine_policy(bars.bars_brand(spark, sf_dir), 2, settings=policy.Settings(batch=8))
+    """A short search for token formulas over brands' bars: two steps of six formulas of up to five tokens."""
+    found = policy.mine_policy(bars.bars_brand(spark, sf_dir), 2, settings=policy.Settings(batch=6, length=5))
     return spark.createDataFrame([(" ".join(t), float(x)) for x, t in found], "formula string, reward double")
 
 
