@@ -61,7 +61,7 @@ _W = f"OVER ({P} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
 @sql_op("eval_seq_ic")
 def seq_ic(k: Kit) -> str:
     """Correlation in time over the 20 bars before each bar; flat windows give none."""
-    c, sx, sy = f"(avg(f * y) {_W} - avg(f) {_W} * avg(y) {_W})", f"stddev_pop(f) {_W}", f"stddev_pop(y) {_W}"
+    c, sx, sy = f"covar_pop(f, y) {_W}", f"stddev_pop(f) {_W}", f"stddev_pop(y) {_W}"
     return f"""WITH {PANEL}, n AS (SELECT *, row_number() OVER ({P}) AS i FROM v),
     w AS (SELECT symbol, ts, i, {c} AS c, {sx} AS sx, {sy} AS sy FROM n)
     SELECT symbol, ts, {r('c / (sx * sy)')} AS ic FROM w WHERE i > 20 AND sx >= 1e-9 AND sy >= 1e-9"""
@@ -70,7 +70,7 @@ def seq_ic(k: Kit) -> str:
 @sql_op("eval_half_life")
 def half_life(k: Kit) -> str:
     """Bars in which the absolute block mean of the rolling correlation halves (log-linear fit over blocks of 22)."""
-    c, sx, sy = f"(avg(f * y) {_W} - avg(f) {_W} * avg(y) {_W})", f"stddev_pop(f) {_W}", f"stddev_pop(y) {_W}"
+    c, sx, sy = f"covar_pop(f, y) {_W}", f"stddev_pop(f) {_W}", f"stddev_pop(y) {_W}"
     return f"""WITH {PANEL}, n AS (SELECT *, row_number() OVER ({P}) AS i FROM v), w AS (SELECT symbol, ts, i, {c} AS c, {sx} AS sx, {sy} AS sy FROM n),
     ic AS (SELECT symbol, c / (sx * sy) AS ic, row_number() OVER ({P}) AS q, count(*) OVER (PARTITION BY symbol) AS n FROM w WHERE i > 20 AND sx >= 1e-9 AND sy >= 1e-9),
     b AS (SELECT symbol, floor((q - 1) / 22e0) AS t, ln(greatest(abs(avg(ic)), 1e-9)) AS l FROM ic WHERE n >= 44 AND q <= floor(n / 22e0) * 22 GROUP BY symbol, floor((q - 1) / 22e0)),

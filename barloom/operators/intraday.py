@@ -32,7 +32,7 @@ COLUMNS = {
     "hf_intra_vol": "stddev_pop(ret)",
     "hf_intra_skew": "CASE WHEN max(n) > 2 AND avg((ret - rm) * (ret - rm)) > 1e-20 THEN avg((ret - rm) * (ret - rm) * (ret - rm)) / pow(avg((ret - rm) * (ret - rm)), 1.5e0) * sqrt(max(n) * (max(n) - 1e0)) / (max(n) - 2e0) END",
     "hf_intra_kurt": "CASE WHEN max(n) > 3 AND avg((ret - rm) * (ret - rm)) > 1e-20 THEN ((max(n) + 1e0) * (avg(pow(ret - rm, 4e0)) / pow(avg((ret - rm) * (ret - rm)), 2e0) - 3e0) + 6e0) * (max(n) - 1e0) / ((max(n) - 2e0) * (max(n) - 3e0)) END",
-    "hf_intra_ac1": "CASE WHEN max(n) >= 4 THEN CASE WHEN stddev_pop(CASE WHEN i > 1 THEN ret END) <= 1e-12 OR stddev_pop(ret1) <= 1e-12 THEN 0e0 ELSE (avg(ret * ret1) - avg(CASE WHEN i > 1 THEN ret END) * avg(ret1)) / (stddev_pop(CASE WHEN i > 1 THEN ret END) * stddev_pop(ret1)) END END",
+    "hf_intra_ac1": "CASE WHEN max(n) >= 4 THEN CASE WHEN stddev_pop(CASE WHEN i > 1 THEN ret END) <= 1e-12 OR stddev_pop(ret1) <= 1e-12 THEN 0e0 ELSE covar_pop(ret, ret1) / (stddev_pop(CASE WHEN i > 1 THEN ret END) * stddev_pop(ret1)) END END",
     "hf_tail_mom": "CASE WHEN max(n) >= 4 THEN exp(sum(CASE WHEN i > n - greatest(1, cast(floor(n / 5e0) as int)) THEN ln(greatest(1e0 + ret, 1e-12)) ELSE 0e0 END)) - 1e0 END",
     "hf_morning_ratio": "sum(CASE WHEN hour < 12 THEN volume ELSE 0e0 END) / nullif(sum(volume), 0e0)",
     "hf_vwap_dev": "avg(close / nullif(vwap, 0e0) - 1e0)",

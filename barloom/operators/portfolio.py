@@ -35,7 +35,7 @@ def neutralize_industry(k: Kit) -> str:
 @sql_op("pf_orthogonalize", "supp")
 def orthogonalize(k: Kit) -> str:
     """Residual of one factor on another per time."""
-    b = f"(avg(f1 * f2) OVER ({X}) - avg(f1) OVER ({X}) * avg(f2) OVER ({X})) / nullif(avg(f2 * f2) OVER ({X}) - avg(f2) OVER ({X}) * avg(f2) OVER ({X}), 0e0)"
+    b = f"covar_pop(f1, f2) OVER ({X}) / nullif(var_pop(f2) OVER ({X}), 0e0)"
     return f"""WITH {BASE}, e AS (SELECT symbol, ts, f1 - avg(f1) OVER ({X}) - ({b}) * (f2 - avg(f2) OVER ({X})) AS e, count(*) OVER ({X}) AS n FROM q)
     SELECT symbol, ts, {r('e')} AS value FROM e WHERE n >= 10"""
 

@@ -117,14 +117,14 @@ def tail_window(k: Kit, last: int = 60, least: int = 250) -> str:
     return f"SELECT symbol, ts, {r('close')} AS close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back, count(*) OVER (PARTITION BY symbol) AS n FROM @panel) x WHERE back <= {last} AND n >= {least}"
 
 
-@panel_op("gate_oos_split", "brand", "SELECT symbol, ts, close FROM @bars WHERE symbol < 'Brand#3' OR ts > 820454400")
+@panel_op("gate_oos_split", "brand", "SELECT CASE WHEN symbol >= 'Brand#3' AND ts > 820454400 THEN symbol || '-late' ELSE symbol END AS symbol, ts, close FROM @bars")
 def oos_split(k: Kit, share: float = 0.25, floor: int = 250) -> str:
     """Bars in and out of sample: the last max(T * share, floor) are out; where that is all, the last max(T / 2, 30)."""
     return f"""SELECT symbol, cast(sum(CASE WHEN rn <= n - m THEN 1 ELSE 0 END) as bigint) AS n_in, cast(sum(CASE WHEN rn > n - m THEN 1 ELSE 0 END) as bigint) AS n_out, min(CASE WHEN rn > n - m THEN ts END) AS first_out
     FROM (SELECT *, CASE WHEN greatest(floor(n * {share!r}), {floor}) < n THEN greatest(floor(n * {share!r}), {floor}) ELSE greatest(floor(n / 2e0), 30) END AS m FROM (SELECT *, row_number() OVER ({P}) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM @panel) x) y GROUP BY symbol"""
 
 
-@panel_op("gate_finite", "brand", f"SELECT symbol, ts, ln(volume - 40e0) AS f, lead(close, 5) OVER ({P}) / close - 1e0 AS y FROM @bars WHERE volume > 40e0")
+@panel_op("gate_finite", "brand", f"SELECT symbol, ts, CASE WHEN volume > 40e0 THEN ln(volume - 40e0) END AS f, lead(close, 5) OVER ({P}) / close - 1e0 AS y FROM @bars")
 def finite_pairs(k: Kit, least: int = 30) -> str:
     """Rows whose factor and label are both numbers, of symbols that have at least `least` of them."""
     ok = lambda x: f"{x} IS NOT NULL AND NOT isnan({x}) AND abs({x}) < 1e300"

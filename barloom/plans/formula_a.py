@@ -139,9 +139,9 @@ def normalized(p: Plan, x: str) -> str:
     """
     n = p.let("count(*) over (partition by ts)")
     m, s = p.let(f"avg({x}) over (partition by ts)"), p.let(f"coalesce(stddev_samp({x}) over (partition by ts), 0e0)")
-    em, es = p.let(f"avg({x}) {p.k.ever}"), p.let(f"avg({x} * {x}) {p.k.ever}")
+    em, ev = p.let(f"avg({x}) {p.k.ever}"), p.let(f"var_pop({x}) {p.k.ever}")
     z = f"({x} - {m}) / greatest({s}, 1e-8)"
-    ez = f"({x} - {em}) / sqrt(greatest({es} - {em} * {em}, 1e-8))"
+    ez = f"({x} - {em}) / sqrt(greatest({ev}, 1e-8))"
     return p.k.clamp(f"(case when {n} > 1 then {z} else {ez} end)", "-3e0", "3e0")
 
 
