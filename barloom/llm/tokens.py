@@ -32,11 +32,13 @@ def count(text: str | None, path: str = VOCABULARY) -> int:
 
 def with_tokens(docs: DataFrame, columns: list[str], text_col: str = "text", path: str = VOCABULARY, name: str = "n_tokens") -> DataFrame:
     """The named columns of docs and each text's number of tokens (null texts: 0)."""
-    source = docs.select(*[F.col(c) for c in columns], F.col(text_col).cast("string").alias("_text_"))
-    fields = [*(source.schema[c] for c in columns), T.StructField(name, T.LongType())]
+    source = docs.select(*[F.col(f"`{c}`").alias(f"_{i}_") for i, c in enumerate(columns)], F.col(f"`{text_col}`").cast("string").alias("_text_"))
+    fields = [*(source.schema[f"_{i}_"] for i in range(len(columns))), T.StructField("_count_", T.LongType())]
+
+    kept = len(columns)
 
     def run(batch: pa.RecordBatch) -> dict:
-        made = [count(t.as_py(), path) for t in batch.column(len(columns))]
-        return dict(zip(columns, batch.columns, strict=False)) | {name: made}
+        made = [count(t.as_py(), path) for t in batch.column(kept)]
+        return {f"_{i}_": batch.column(i) for i in range(kept)} | {"_count_": made}
 
-    return map_batches(source, run, fields)
+    return map_batches(source, run, fields).toDF(*columns, name)
