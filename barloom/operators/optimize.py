@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -127,22 +129,31 @@ def neutralize(panel: DataFrame, value: str, styles: list[str], group: str | Non
     return panel.select(*cols).groupBy("ts").applyInPandas(plain(run), "ts long, symbol string, value double, r2 double")
 
 
-def risk_model(panel: DataFrame, styles: list[str], least: int = 10) -> tuple[DataFrame, np.ndarray, list[str]]:
-    """Style returns per time (ts, one column each), their shrunk covariance, and the styles.
+def factor_returns(panel: DataFrame, styles: list[str], least: int = 10) -> DataFrame:
+    """Style returns per time (ts, one column each): the slopes of ret on the styles, with an intercept.
 
-    panel: ts, symbol, ret and styles.  Style returns are times by styles, small beside the panel.
+    panel: ts, symbol, ret and styles.  A time's cross-section becomes its covariances, which combine before the shuffle;
+    only these few numbers are solved in Python.
     """
+    k = len(styles)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = [F.covar_pop(styles[i], styles[j]).alias(f"c{i}_{j}") for i, j in pairs] + [F.covar_pop(s, "ret").alias(f"y{i}") for i, s in enumerate(styles)]
+    moments = panel.dropna(subset=["ret", *styles]).groupBy("ts").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= least)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.dropna(subset=["ret", *styles])
-        if len(g) < least:
-            return pd.DataFrame({c: [] for c in ["ts", *styles]})
-        x = np.column_stack([np.ones(len(g)), g[styles].to_numpy(float)])
-        b = np.linalg.lstsq(x, g["ret"].to_numpy(float), rcond=None)[0]
-        return pd.DataFrame([{"ts": g["ts"].iloc[0]} | dict(zip(styles, b[1:], strict=True))])
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            a, y = np.empty((len(f), k, k)), f[[f"y{i}" for i in range(k)]].to_numpy(float)
+            for i, j in pairs:
+                a[:, i, j] = a[:, j, i] = f[f"c{i}_{j}"]
+            yield pd.DataFrame(np.einsum("tij,tj->ti", np.linalg.pinv(a, hermitian=True), y), columns=styles).assign(ts=f["ts"].to_numpy())[["ts", *styles]]
+
+    return moments.mapInPandas(solve, "ts long, " + ", ".join(f"{s} double" for s in styles))
 
-    returns = panel.select("ts", "symbol", "ret", *styles).groupBy("ts").applyInPandas(plain(run), "ts long, " + ", ".join(f"{s} double" for s in styles))
-    known = returns.toPandas()[styles].to_numpy(float)  # all times: as many rows as the panel has times
+
+def risk_model(panel: DataFrame, styles: list[str], least: int = 10) -> tuple[DataFrame, np.ndarray, list[str]]:
+    """``factor_returns``, their shrunk covariance, and the styles.  As many rows as the panel has times go to the driver."""
+    returns = factor_returns(panel, styles, least)
+    known = returns.orderBy("ts").toPandas()[styles].to_numpy(float)
     return returns, ledoit_wolf(known)[0] if len(known) > 1 else np.eye(len(styles)), styles
 
 

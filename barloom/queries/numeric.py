@@ -102,9 +102,19 @@ def neutralize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimize.neutralize(supplier_panel(spark, sf_dir), "score", ["vol", "turn"], "industry")
 
 
-@query("num_risk_model")
+_DET = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))"
+_GRAM = ["mm", "mv", "mt", "mv", "vv", "vt", "mt", "vt", "tt"]
+_CRAMER = [_DET.format(*(x if i % 3 != k else ("my", "vy", "ty")[i // 3] for i, x in enumerate(_GRAM))) for k in range(3)]
+_RISK_SQL = f"""WITH g AS (SELECT ts, covar_pop(mom, mom) AS mm, covar_pop(mom, vol) AS mv, covar_pop(mom, turn) AS mt, covar_pop(vol, vol) AS vv, covar_pop(vol, turn) AS vt, covar_pop(turn, turn) AS tt, covar_pop(mom, ret) AS my, covar_pop(vol, ret) AS vy, covar_pop(turn, ret) AS ty
+  FROM ({PANEL_SQL}) WHERE ret IS NOT NULL AND mom IS NOT NULL AND vol IS NOT NULL AND turn IS NOT NULL GROUP BY ts HAVING count(*) >= 10)
+SELECT ts, {", ".join(f"round({c} / {_DET.format(*_GRAM)}, 6) AS {n}" for c, n in zip(_CRAMER, STYLES, strict=True))} FROM g"""
+
+
+@query("num_risk_model", _RISK_SQL)
 def risk_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return optimize.risk_model(supplier_panel(spark, sf_dir), STYLES)[0]
+    """Returns of the suppliers' styles at each time."""
+    found = optimize.factor_returns(supplier_panel(spark, sf_dir), STYLES)
+    return found.select("ts", *[F.round(s, 6).alias(s) for s in STYLES])
 
 
 @query("num_risk_decomposition")
