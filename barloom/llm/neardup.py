@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from barloom.llm import kernel
 from barloom.llm.arrow import free_name, map_batches
 from barloom.llm.groups import active_of, link
-from barloom.llm.shared import Scratch
+from barloom.llm.shared import Scratch, small
 
 BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
@@ -301,7 +301,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     judged = scratch.put("judged", _near_duplicates(docs, scratch, k, percent, id_col, text_col).select(F.col(id_col).alias(key), "kept"))
     scratch.drop_but("judged")
     own = F.col(f"`{id_col}`")
-    out = docs.join(judged.where("not kept").select(key), own == F.col(key), "left_anti")
+    out = docs.join(small(judged.where("not kept").select(key)), own == F.col(key), "left_anti")
     twice = scratch.put("twice", docs.where(own.isNotNull()).groupBy(own.alias(key)).count().where("count > 1").select(key))
     if not twice.limit(1).count():
         return out
